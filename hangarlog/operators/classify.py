@@ -17,6 +17,7 @@ from hangarlog.operators.evaluate import macro_f1, wide_predictions
 from hangarlog.operators.split import class_weights, dense_ids
 from hangarlog.plans.sizing import join_small
 from hangarlog.reference_data import UNKNOWN_DEFINITION, UNKNOWN_SYSTEM
+from hangarlog.session import ensure_checkpoint_dir
 
 MAX_TOKENS = 128
 FEATURES = 1 << 14
@@ -49,11 +50,13 @@ def train_classifier(df: DataFrame, label: str, text: str = "text", level: str =
                      smoothing: float = 1.0) -> PipelineModel:
     """Fit on text, at code, subsystem or system level, weighted by rarity.
 
-    Naive Bayes takes one aggregation over the data. A fitted model is a
+    The tokens are checkpointed, since labels, weights, IDF and the learner all
+    read them. Naive Bayes takes one aggregation. A fitted model is a
     labels-by-features matrix on every node, so its size is checked first.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     target = LEVELS[level](label)
-    rows = df.where(F.col(label).isNotNull()).select(target.alias("target"), text_tokens(text).alias("tokens"))
+    rows = df.where(F.col(label).isNotNull()).select(target.alias("target"), text_tokens(text).alias("tokens")).checkpoint()
     labels = rows.select("target").distinct()
     classes = labels.count()
     if classes * features > MODEL_CELLS:

@@ -57,10 +57,16 @@ def geolocate(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def geo_rollup(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Records per code and mapped site."""
+    """Records per code and mapped site.
+
+    Unmapped counts go last and by a test that involves the count: a plain
+    test of the site is a test of the base, which the optimizer would move
+    down to every single record, lookup included.
+    """
+    mapped = F.when(F.col("site").isNotNull(), F.col("n")).otherwise(0)
     return (
-        with_site(base_counts(df), gazetteer).where("site IS NOT NULL")
-        .groupBy("code", "site", "lat", "lon").agg(F.sum("n").alias("n"))
+        with_site(base_counts(df), gazetteer)
+        .groupBy("code", "site", "lat", "lon").agg(F.sum("n").alias("n")).where(mapped > 0)
     )
 
 
