@@ -19,18 +19,17 @@ from hangarlog.reference_data import HOUR_BANDS, UNKNOWN_PHASE, UNKNOWN_PHASE_OF
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _phrase(column: str) -> Column:
-    cleaned = normalize_phrase(column)
-    return F.when(F.length(cleaned) > 3, cleaned)
+def _phrase(cleaned: str) -> Column:
+    return F.when(F.length(cleaned) > 3, F.col(cleaned))
 
 
 def _facets() -> dict[str, Column]:
     """What a record is counted under. Arrays count once per element."""
     return {
-        "phrase": _phrase("discrepancy"),
-        "keyword": keyword_tokens(normalize_phrase("discrepancy")),
-        "fix": _phrase("corrective_action"),
-        "fix_keyword": keyword_tokens(normalize_phrase("corrective_action")),
+        "phrase": _phrase("_wrong"),
+        "keyword": keyword_tokens("_wrong"),
+        "fix": _phrase("_fixed"),
+        "fix_keyword": keyword_tokens("_fixed"),
         "base": base_key(),
         "month": F.lpad(F.month("start_date").cast("string"), 2, "0"),
         "year": F.year("start_date").cast("string"),
@@ -41,6 +40,8 @@ def _facets() -> dict[str, Column]:
     }
 
 
+# Normalised text two facets share, so that it is worked out once per record.
+_CLEANED = {"_wrong": "discrepancy", "_fixed": "corrective_action"}
 _REPEATED = ("keyword", "fix_keyword")
 
 
@@ -52,6 +53,7 @@ def facet_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     count-based sections instead of one each.
     """
     facets = _facets()
+    df = df.withColumns({new: normalize_phrase(old) for new, old in _CLEANED.items() if old in df.columns})
     if len(names) == 1:
         name = names[0]
         item = F.explode(facets[name]) if name in _REPEATED else facets[name]
