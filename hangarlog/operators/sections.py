@@ -124,9 +124,10 @@ def phase_text(code: Column, phase: Column) -> Column:
 
 
 def with_phase(counts: DataFrame, column: str, phases: DataFrame) -> DataFrame:
-    """Phase name of a code column; the phase table is a handful of rows."""
+    """Phase name of a code column. Spark knows the size of an inline phase
+    table and broadcasts it by itself."""
     return (
-        counts.join(F.broadcast(phases.withColumnRenamed("phase_code", column)), column, "left")
+        counts.join(phases.withColumnRenamed("phase_code", column), column, "left")
         .withColumn("phase", phase_text(F.col(column), F.col("phase")))
     )
 

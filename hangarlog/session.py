@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # HotSpot never compiles a method above 8000 bytes of bytecode. A projection
+    # that long is better split into smaller methods than fused into one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -124,7 +124,9 @@ def questions(recs: DataFrame) -> DataFrame:
         word("sept ", year, " for wuc#", code),
         word("  anything on ", asset, " in the last ", (number % 6 + 1).cast("string"), " years? "),
     ]
-    text = F.element_at(F.array(*forms), (kind + 1).cast("int"))
+    text = F.when(F.lit(False), "")
+    for k, form in enumerate(forms):
+        text = text.when(kind == k, form)
     return recs.select(F.col("record_id").alias("question_id"), text.alias("question"))
 
 
