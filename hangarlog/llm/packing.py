@@ -13,6 +13,7 @@ shuffled, and a repeated task makes the same sequences.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,10 @@ from hangarlog.llm.textbytes import WHITE, buffer_of, slices, span_hashes
 END = 1
 MOST_OPEN = 2048
 #: Pieces of text remembered by a task with their ids, and the bytes of the longest one.
-CACHE_PIECES, CACHE_BYTES = 1 << 20, 48
+CACHE_PIECES, CACHE_BYTES = 1 << 21, 48
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "|"]] = True  # not inside <|endoftext|>
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -39,8 +43,9 @@ class PieceEncoder:
     """Token ids of texts, each distinct piece between spaces encoded once.
 
     The tokenizer splits a text before a space that is followed by a character
-    that is not white space, so texts can be cut there without any change of
-    ids. A cut is made only where the bytes beside the space prove it.
+    that is not white space, and between a letter and a mark, so texts can be
+    cut there without any change of ids. A cut is made only where the bytes
+    beside it prove it.
     """
 
     def __init__(self, path: str):
@@ -62,10 +67,13 @@ class PieceEncoder:
         cut = np.zeros(n, dtype=bool)
         before, after = data[:-2], data[2:]
         cut[1:-1] = (data[1:-1] == 32) & np.where(after < 128, ~WHITE[after], (before < 128) & ~WHITE[before])
+        # A mark after a letter begins a token, and so does a letter after a single line feed.
+        cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+        cut[2:] |= (data[:-2] < 128) & ~WHITE[data[:-2]] & (data[1:-1] == 10) & _LETTER[data[2:]]
         inner = rows[:-1][np.diff(rows) > 0]
-        # The last byte of a row sees the next row: no cut there or at a row's start.
+        # A row's last byte saw the next row: a space there is no cut.
         last = rows[1:][np.diff(rows) > 0] - 1
-        cut[last] = False
+        cut[last[data[last] == 32]] = False
         cut[inner] = True
         starts = np.flatnonzero(cut)
         ends = np.concatenate((starts[1:], [n]))
@@ -88,9 +96,9 @@ class PieceEncoder:
         place[known], size[known] = self.starts[at[known]], self.sizes[at[known]]
         new = np.flatnonzero(~known)
         raw = data.tobytes()
-        texts = [raw[s:e].decode("utf-8") for s, e in zip(starts[new], ends[new])]
+        texts = [raw[s:e].decode("utf-8") for s, e in zip(starts[new].tolist(), ends[new].tolist())]
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        fresh = np.fromiter((x for ids in made for x in ids), dtype=np.uint32)
+        fresh = np.fromiter(itertools.chain.from_iterable(made), dtype=np.uint32)
         size[new] = [len(ids) for ids in made]
         place[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
         pool = np.concatenate((self.ids, fresh))
