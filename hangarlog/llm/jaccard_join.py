@@ -141,6 +141,7 @@ def _candidates(threshold: float, tolerance: float):
             cuts = np.flatnonzero(np.diff(a)) + 1
             for left, right in zip(a[np.concatenate(([0], cuts))], np.split(b, cuts)):
                 out.append((band, key, i, j, ids[left], ids[right]))
+            out.append((band, key, i, j, None, ids[np.unique(np.concatenate((a, b)))]))  # whose sets the cell needs
             if len(out) >= 2000:
                 yield record(schema, list(zip(*out)))
                 out.clear()
@@ -249,13 +250,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
         _candidates(threshold, tolerance), "band int, key long, i int, j int, left long, right array<long>"))
 
     # The sets of the classes that are left, once for each cell they are in.
-    used = pairs.select(*cell, F.col("left").alias("class")).unionByName(
-        pairs.select(*cell, F.explode("right").alias("class"))).distinct()
+    used = pairs.filter("left is null").select(*cell, F.explode("right").alias("class"))
     wanted = used.select("class").distinct()
     one = named.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("k")).select("class", "k.*")
     sets = source.join(one, ["k1", "k2"]).select("class", "text").mapInArrow(_sets(words), "class long, set binary")
     loaded = used.join(sets, "class").join(classes.select("class", "size"), "class").select(*cell, "class", "size", "set", F.lit(None).cast("array<long>").alias("right"))
-    lists = pairs.select(*cell, F.col("left").alias("class"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("set"), "right")
+    lists = pairs.filter("left is not null").select(*cell, F.col("left").alias("class"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("set"), "right")
     linked = stash(loaded.unionByName(lists).repartition(*cell).sortWithinPartitions(*cell).mapInArrow(
         _links(threshold), "class long, links long, root long"))
 
