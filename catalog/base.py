@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hangarlog.reference_data import DISCOVERY_PHASES, MAINTENANCE_PHASES, SYSTEMS
+from hangarlog.reference_data import DISCOVERY_PHASES, MAINTENANCE_PHASES, STOPWORDS, SYSTEMS
 from hangarlog.session import SETTINGS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,10 @@ RARE = 20
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
         def prepared(spark: SparkSession, folder: str) -> DataFrame:
+            chosen = spark.conf.getAll  # what the caller has set stands
             for key, value in SETTINGS.items():
-                spark.conf.set(key, value)
+                if key.startswith("spark.sql.") and key not in chosen:
+                    spark.conf.set(key, value)
             return run(spark, folder)
 
         QUERIES[name] = prepared
@@ -105,8 +107,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         SELECT code, lower(token) AS token FROM (
             SELECT code, unnest(string_split({PHRASE.format('discrepancy')}, ' ')) AS token FROM records) x
         WHERE length(token) >= 3 AND NOT regexp_matches(token, '^[0-9]+$')
-          AND lower(token) NOT IN ('the','a','an','and','or','of','to','in','on','at','for','is','was','were','be',
-              'been','has','have','had','with','that','this','it','as','by','from','inop','ops')""", ("records",)),
+          AND lower(token) NOT IN ({", ".join(f"'{w}'" for w in STOPWORDS)})""", ("records",)),
     "splits": ("""
         SELECT *, CASE WHEN in_train THEN 'train'
                        WHEN row_number() OVER (PARTITION BY in_train ORDER BY md5(concat('43:', record_id)))

@@ -256,7 +256,7 @@ def _(spark, d):
 # The same with every job of more than three codes taken as a wide one.
 @query("a23_cooccurring_wide_jobs", TOGETHER)
 def _(spark, d):
-    return related.cooccurring(star.records(spark, d), wide_job=3)
+    return related.cooccurring(star.records(spark, d), spread=3)
 
 
 @query("o7_top_items_of_histogram", sql("records", """

@@ -322,7 +322,50 @@ def _documents(spark, d):
     return star.table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
 
 
-@query("m1_train_and_score")
+DOC_SPLITS = """
+    SELECT *, CASE WHEN in_train THEN 'train'
+                   WHEN row_number() OVER (PARTITION BY in_train ORDER BY md5(concat('43:', doc_id)))
+                        <= floor(count(*) OVER (PARTITION BY in_train) / 2) THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT doc_id AS key, doc_id, text, lang AS label,
+                 row_number() OVER (PARTITION BY lang ORDER BY md5(concat('42:', doc_id)))
+                   <= ceil(cast(0.8 as double) * count(*) OVER (PARTITION BY lang)) AS in_train FROM documents) x"""
+
+
+def naive_bayes(name: str, train: str, asked: str, smoothing: float = 1.0) -> dict[str, str]:
+    """CTEs up to {name}(key, label, confidence, rank): train has label and text, asked has key and text."""
+    words = "unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 0)) AS token"
+    n = name
+    return {
+        f"{n}_tok": f"SELECT label, token, count(*) AS n FROM (SELECT label, {words} FROM {train} WHERE label IS NOT NULL) x GROUP BY 1, 2",
+        f"{n}_lab": f"""SELECT label, ln(1.0::double / count(*) OVER ()) AS prior,
+            ln({smoothing}::double / (coalesce(tokens, 0) + {smoothing}::double * (SELECT count(DISTINCT token) FROM {n}_tok))) AS absent
+            FROM (SELECT DISTINCT label FROM {train} WHERE label IS NOT NULL) l LEFT JOIN (SELECT label, sum(n) AS tokens FROM {n}_tok GROUP BY 1) t USING (label)""",
+        f"{n}_ask": f"SELECT text, token, count(*) AS tf FROM (SELECT text, {words} FROM (SELECT DISTINCT text FROM {asked}) d) x GROUP BY 1, 2",
+        f"{n}_known": f"SELECT text, sum(tf) AS known FROM {n}_ask WHERE token IN (SELECT token FROM {n}_tok) GROUP BY 1",
+        f"{n}_score": f"""SELECT text, label, round(prior + known * absent + gained, 8) AS score FROM (
+            SELECT text, label, sum(tf * ln((n + {smoothing}::double) / {smoothing}::double)) AS gained FROM {n}_ask JOIN {n}_tok USING (token) GROUP BY 1, 2) g
+            JOIN {n}_lab USING (label) JOIN {n}_known USING (text)""",
+        f"{n}_rank": f"""SELECT text, label, 100.0 * exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY text) AS confidence, rank
+            FROM (SELECT *, max(score) OVER (PARTITION BY text) AS top, row_number() OVER (PARTITION BY text ORDER BY score DESC, label) AS rank FROM {n}_score) s""",
+        n: f"SELECT key, r.label, confidence, rank FROM {asked} a JOIN {n}_rank r USING (text)",
+    }
+
+
+def f1_sql(pairs: str) -> str:
+    """macro_f1 over pairs(truth, predicted)."""
+    return f"""SELECT sum(support)::bigint AS n, count(*) AS labels, sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1,
+        sum(f1 * support) / sum(support) AS weighted_f1 FROM (
+        SELECT label, sum(tp)::double AS tp, sum(support)::double AS support, 2.0 * sum(tp) / (sum(support) + sum(given)) AS f1 FROM (
+          SELECT truth AS label, (truth IS NOT DISTINCT FROM predicted)::int AS tp, 1 AS support, 0 AS given FROM {pairs}
+          UNION ALL SELECT predicted, 0, 0, 1 FROM {pairs}) x WHERE label IS NOT NULL GROUP BY 1) y"""
+
+
+def pairs_sql(model: str, asked: str) -> str:
+    return f"SELECT a.label AS truth, p.label AS predicted FROM {asked} a LEFT JOIN (SELECT * FROM {model} WHERE rank = 1) p USING (key)"
+
+
+@query("m1_train_and_score", sql("", f1_sql("pairs"), docs=DOC_SPLITS, train="SELECT * FROM docs WHERE split = 'train'",
+       asked="SELECT * FROM docs WHERE split <> 'train'", **naive_bayes("nb", "train", "asked"), pairs=pairs_sql("nb", "asked")))
 def _(spark, d):
     docs = split.split(_documents(spark, d), "label", "doc_id")
     model = classify.train_classifier(docs.where("split = 'train'"), "label")
@@ -331,28 +374,59 @@ def _(spark, d):
     return evaluate.macro_f1(rows)
 
 
-@query("m2_train_by_level")
+LEVEL_SQL = {"system": "substr(code, 1, 2)", "subsystem": "substr(code, 1, 3)", "code": "code"}
+
+
+def _levels_sql() -> str:
+    ctes, parts = {"rows": "SELECT r.record_id AS key, r.code, discrepancy AS text, split FROM records r JOIN splits USING (record_id)"}, []
+    for level, label in LEVEL_SQL.items():
+        ctes[f"t_{level}"] = f"SELECT {label} AS label, text FROM rows WHERE split = 'train'"
+        ctes[f"q_{level}"] = f"SELECT key, {label} AS label, text FROM rows WHERE split = 'test'"
+        ctes |= naive_bayes(f"nb_{level}", f"t_{level}", f"q_{level}")
+        ctes[f"p_{level}"] = pairs_sql(f"nb_{level}", f"q_{level}")
+        parts.append(f"SELECT '{level}' AS level, n, labels, accuracy, macro_f1 FROM ({f1_sql(f'p_{level}')}) z")
+    return sql("records splits", " UNION ALL ".join(parts), **ctes)
+
+
+@query("m2_train_by_level", _levels_sql())
 def _(spark, d):
-    recs = star.records(spark, d).select("code", F.col("discrepancy").alias("text"))
+    recs = split.split(star.records(spark, d).select("record_id", "code", F.col("discrepancy").alias("text")), "code", "record_id")
     out = None
-    for level in ("system", "subsystem"):
-        model = classify.train_classifier(recs, "code", level=level, features=1 << 10)
-        scored = classify.predict_topk(model, recs, 1)
+    for level in LEVEL_SQL:
+        model = classify.train_classifier(recs.where("split = 'train'"), "code", level=level)
+        scored = classify.predict_topk(model, recs.where("split = 'test'"), 1)
         rows = scored.select(classify.LEVELS[level]("code").alias("truth"), arrays.entry("preds", 0, "code").alias("pred_1"))
         part = evaluate.macro_f1(rows).select(F.lit(level).alias("level"), "n", "labels", "accuracy", "macro_f1")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("m3_predict_topk")
+@query("m3_predict_topk", sql("", """
+    SELECT doc_id, a.label AS truth, max(p.label) FILTER (rank = 1) AS pred_1, max(p.label) FILTER (rank = 2) AS pred_2,
+           max(p.label) FILTER (rank = 3) AS pred_3, round_even(max(confidence) FILTER (rank = 1), 2) AS confidence_1,
+           round_even(max(confidence) FILTER (rank = 2), 2) AS confidence_2, round_even(max(confidence) FILTER (rank = 3), 2) AS confidence_3
+    FROM asked a LEFT JOIN nb p USING (key) GROUP BY doc_id, a.label""", docs=DOC_SPLITS, train="SELECT * FROM docs WHERE split = 'train'",
+    asked="SELECT * FROM docs WHERE split <> 'train'", **naive_bayes("nb", "train", "asked")))
 def _(spark, d):
-    docs = _documents(spark, d)
-    model = classify.train_classifier(docs, "label")
-    wide = evaluate.wide_predictions(classify.predict_topk(model, docs, 3), 3)
+    docs = split.split(_documents(spark, d), "label", "doc_id")
+    model = classify.train_classifier(docs.where("split = 'train'"), "label")
+    wide = evaluate.wide_predictions(classify.predict_topk(model, docs.where("split <> 'train'"), 3), 3)
     return wide.select("doc_id", F.col("label").alias("truth"), "pred_1", "pred_2", "pred_3", "confidence_1", "confidence_2", "confidence_3")
 
 
-@query("m4_select_by_macro_f1")
+def _selected_sql() -> str:
+    ctes = {"docs": DOC_SPLITS, "train": "SELECT * FROM docs WHERE split = 'train'", "val": "SELECT * FROM docs WHERE split = 'val'",
+            "test": "SELECT * FROM docs WHERE split = 'test'"}
+    for name, smoothing in (("low", 0.1), ("high", 1.0)):
+        ctes |= naive_bayes(f"{name}_val", "train", "val", smoothing) | naive_bayes(f"{name}_test", "train", "test", smoothing)
+        ctes[f"{name}_vp"], ctes[f"{name}_tp"] = pairs_sql(f"{name}_val", "val"), pairs_sql(f"{name}_test", "test")
+    score = lambda pairs: f"(SELECT macro_f1 FROM ({f1_sql(pairs)}) s)"
+    ctes["pairs"] = (f"SELECT * FROM low_tp WHERE {score('low_vp')} >= {score('high_vp')} "
+                     f"UNION ALL SELECT * FROM high_tp WHERE {score('low_vp')} < {score('high_vp')}")
+    return sql("", f1_sql("pairs"), **ctes)
+
+
+@query("m4_select_by_macro_f1", _selected_sql())
 def _(spark, d):
     docs = split.split(_documents(spark, d), "label", "doc_id")
     part = lambda name: docs.where(F.col("split") == name)
@@ -363,10 +437,12 @@ def _(spark, d):
     return evaluate.macro_f1(rows)
 
 
+# Whole file: codes in full, texts the model has seen left out, every other record scored, a sheet drawn from it.
 @query("m7_prediction_file")
 def _(spark, d):
     recs = star.records(spark, d)
-    ready = scoring.prepare_training(recs.withColumn("code", text.system_of("code")).withColumn("code", F.concat("code", F.lit("0"))))
-    model = classify.train_classifier(ready.where("split <> 'test'"), "code", features=1 << 10)
-    predicted = scoring.batch_predict(recs, model, star.code_dictionary(recs))
+    ready = scoring.prepare_training(recs)
+    seen = ready.where("split = 'train'")
+    model = classify.train_classifier(seen, "code")
+    predicted = scoring.batch_predict(recs, model, star.code_dictionary(recs), seen)
     return scoring.labeling_worksheet(predicted)

@@ -21,8 +21,8 @@ GENERIC_FORMATS = (
 
 
 def to_number(c: Column | str) -> Column:
-    """Double, or null where the text is no number."""
-    return as_column(c).try_cast("double")
+    """Double, or null where the text is no number; "nan" is none."""
+    return F.nanvl(as_column(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def to_date(c: Column | str, formats: Sequence[str] = GENERIC_FORMATS) -> Column:

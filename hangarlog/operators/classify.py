@@ -1,41 +1,47 @@
-"""Code classification with Spark ML: training, top-k scoring, token counts."""
+"""Code classification from token counts: multinomial naive Bayes kept as tables.
+
+A model is two tables, one row a label and one row a label and token. Nothing
+of it is held by the driver, so labels, tokens and texts may be as many as
+they like, and whole texts are counted. Training is one aggregation;
+continuing is adding counts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import IDF, HashingTF, StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hangarlog.functions.arrays import entry, top_positions
+from hangarlog.functions.arrays import entry
 from hangarlog.functions.labels import confidence_band
 from hangarlog.functions.text import subsystem_of, system_of
 from hangarlog.operators.evaluate import macro_f1, wide_predictions
-from hangarlog.operators.split import class_weights, dense_ids
 from hangarlog.plans.sizing import join_small
 from hangarlog.reference_data import UNKNOWN_DEFINITION, UNKNOWN_SYSTEM
-from hangarlog.session import ensure_checkpoint_dir
-
-MAX_TOKENS = 128
-FEATURES = 1 << 14
-MODEL_CELLS = 64_000_000  # labels x features held by the driver and every executor: 512 MB
 
 LEVELS = {"system": system_of, "subsystem": subsystem_of, "code": F.col}
+#: Scores are compared at this many decimals, so that the order of a sum decides no rank.
+SCORE_DECIMALS = 8
+
+
+@dataclass(frozen=True)
+class CountModel:
+    """labels: target, prior, absent (log share of an unseen token); weights: target, token, gain over unseen."""
 
+    labels: DataFrame
+    weights: DataFrame
 
-def text_tokens(text: str = "text", limit: int = MAX_TOKENS) -> Column:
-    """Lower-case words of letters and digits, the first ``limit`` of them."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    return F.slice(words, 1, limit)
 
+def text_tokens(text: str = "text") -> Column:
+    """Lower-case words of letters and digits, all of them."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
-def token_counts(df: DataFrame, label: str, text: str = "text", limit: int = MAX_TOKENS) -> DataFrame:
+
+def token_counts(df: DataFrame, label: str, text: str = "text") -> DataFrame:
     """How often each token occurs under each label: what naive Bayes learns."""
     return (
-        df.where(F.col(label).isNotNull()).select(F.col(label), F.explode(text_tokens(text, limit)).alias("token"))
+        df.where(F.col(label).isNotNull()).select(F.col(label), F.explode(text_tokens(text)).alias("token"))
         .groupBy(label, "token").agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -45,52 +51,64 @@ def add_counts(old: DataFrame, new: DataFrame, label: str) -> DataFrame:
     return old.unionByName(new).groupBy(label, "token").agg(F.sum("n").alias("n"))
 
 
-def train_classifier(df: DataFrame, label: str, text: str = "text", level: str = "code",
-                     weighted: bool = True, algorithm: str = "naive_bayes", features: int = FEATURES,
-                     smoothing: float = 1.0) -> PipelineModel:
-    """Fit on text, at code, subsystem or system level, weighted by rarity.
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    """Rows of each label; add these up too when training is continued."""
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
+
 
-    The tokens are checkpointed, since labels, weights, IDF and the learner all
-    read them. Naive Bayes takes one aggregation. A fitted model is a
-    labels-by-features matrix on every node, so its size is checked first.
+def fit_counts(counts: DataFrame, rows: DataFrame, label: str, weighted: bool = True, smoothing: float = 1.0) -> CountModel:
+    """A model from token_counts() and label_counts(), of one batch or of several added up.
+
+    ``weighted`` gives every label the same prior, as training weighted by
+    rarity does; otherwise the prior is a label's share of the rows.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    target = LEVELS[level](label)
-    rows = df.where(F.col(label).isNotNull()).select(target.alias("target"), text_tokens(text).alias("tokens")).checkpoint()
-    labels = rows.select("target").distinct()
-    classes = labels.count()
-    if classes * features > MODEL_CELLS:
-        raise ValueError(f"{classes} labels x {features} features exceed {MODEL_CELLS} model cells; lower features")
-    if weighted:
-        weights = class_weights(rows, dense_ids(labels, "target"), "target").select("target", "weight")
-        rows = join_small(rows, weights, ["target"])
-    else:
-        rows = rows.withColumn("weight", F.lit(1.0))
-    indexer = StringIndexer(inputCol="target", outputCol="target_id", stringOrderType="alphabetAsc")
-    counts = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features)
-    idf = IDF(inputCol="counts", outputCol="features")
-    if algorithm == "naive_bayes":
-        learner = NaiveBayes(labelCol="target_id", featuresCol="features", weightCol="weight", smoothing=smoothing)
-    else:
-        learner = LogisticRegression(labelCol="target_id", featuresCol="features", weightCol="weight", maxIter=50)
-    return Pipeline(stages=[indexer, counts, idf, learner]).fit(rows)
-
-
-def predict_topk(model: PipelineModel, df: DataFrame, k: int = 3, text: str = "text") -> DataFrame:
-    """Add preds: array<struct<code, confidence>> of the k likeliest labels, in percent."""
-    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    scoring = PipelineModel(model.stages[1:])
-    scored = scoring.transform(df.withColumn("tokens", text_tokens(text)))
-    best = top_positions("_p", k)
-    named = F.transform(
-        "_best",
-        lambda e: F.struct(F.get(F.col("_names"), e["position"]).alias("code"), (100.0 * e["score"]).alias("confidence")),
+    size = counts.select("token").distinct().agg(F.count(F.lit(1))).scalar()
+    totals = counts.groupBy(label).agg(F.sum("n").alias("tokens"))
+    share = F.lit(1.0) if weighted else F.col("rows").cast("double")
+    prior = F.log(share / F.sum(share).over(Window.partitionBy()))
+    labels = rows.join(totals, label, "left").select(
+        F.col(label).alias("target"), prior.alias("prior"),
+        F.log(F.lit(smoothing) / (F.coalesce("tokens", F.lit(0)) + smoothing * size)).alias("absent"),
     )
-    return (
-        scored.withColumn("_p", vector_to_array("probability")).withColumn("_best", best)
-        .withColumn("_names", names).withColumn("preds", named)
-        .select(*df.columns, "preds")
+    gain = F.log((F.col("n") + smoothing) / F.lit(smoothing))
+    return CountModel(labels, counts.select(F.col(label).alias("target"), "token", gain.alias("gain")))
+
+
+def train_classifier(df: DataFrame, label: str, text: str = "text", level: str = "code", weighted: bool = True,
+                     smoothing: float = 1.0) -> CountModel:
+    """Fit on whole texts, at code, subsystem or system level."""
+    rows = df.where(F.col(label).isNotNull()).select(LEVELS[level](label).alias("target"), F.col(text).alias("text"))
+    return fit_counts(token_counts(rows, "target"), label_counts(rows, "target"), "target", weighted, smoothing)
+
+
+def predict_topk(model: CountModel, df: DataFrame, k: int = 3, text: str = "text") -> DataFrame:
+    """Add preds: array<struct<code, confidence>> of the k likeliest labels, in percent.
+
+    Each distinct text is scored once. Its tokens are joined to the weights, so
+    only labels that share a token with it are compared; confidences are shares
+    among these. A text that shares none gets no prediction. Ties go to the
+    smaller label.
+    """
+    keys = {"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(17), text)}
+    keyed = df.withColumns(keys)
+    once = df.where(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("_text")).dropDuplicates(list(keys))
+    tokens = once.select(*keys, F.explode(text_tokens("_text")).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
+    known = tokens.join(model.weights.select("token").distinct(), "token", "left_semi").groupBy(*keys).agg(F.sum("tf").alias("known"))
+    gains = tokens.join(model.weights, "token").groupBy(*keys, "target").agg(F.sum(F.col("tf") * F.col("gain")).alias("gained"))
+    scored = join_small(gains, model.labels, ["target"]).join(known, list(keys)).withColumn(
+        "score", F.round(F.col("prior") + F.col("known") * F.col("absent") + F.col("gained"), SCORE_DECIMALS))
+    text_of = Window.partitionBy(*keys)
+    share = F.exp(F.col("score") - F.max("score").over(text_of))
+    best = (
+        scored.withColumn("share", share).withColumns({
+            "confidence": 100.0 * F.col("share") / F.sum("share").over(text_of),
+            "rank": F.row_number().over(text_of.orderBy(F.desc("score"), "target")),
+        })
+        .where(F.col("rank") <= k)
     )
+    lists = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "target", "confidence"))).alias("_best")).select(
+        *keys, F.transform("_best", lambda e: F.struct(e["target"].alias("code"), e["confidence"].alias("confidence"))).alias("preds"))
+    return keyed.join(lists, list(keys), "left").select(*df.columns, "preds")
 
 
 def describe_predictions(df: DataFrame, dictionary: DataFrame, systems: DataFrame, k: int = 3) -> DataFrame:
@@ -112,8 +130,8 @@ def describe_predictions(df: DataFrame, dictionary: DataFrame, systems: DataFram
 
 
 def best_by_macro_f1(train: DataFrame, val: DataFrame, label: str, settings: Sequence[Mapping],
-                     text: str = "text") -> tuple[PipelineModel, list[tuple[Mapping, float]]]:
-    """Fit every setting and keep the model with the best macro F1 on val."""
+                     text: str = "text") -> tuple[CountModel, list[tuple[Mapping, float]]]:
+    """Fit every setting and keep the model with the best macro F1 on val; ties to the earlier setting."""
     tried, best, best_score = [], None, -1.0
     for setting in settings:
         model = train_classifier(train, label, text, **setting)
@@ -121,6 +139,6 @@ def best_by_macro_f1(train: DataFrame, val: DataFrame, label: str, settings: Seq
         scored = predict_topk(model, val, 1, text).select(target.alias("truth"), entry("preds", 0, "code").alias("pred_1"))
         score = macro_f1(scored).first()["macro_f1"]
         tried.append((setting, score))
-        if score > best_score:
+        if score is not None and score > best_score:
             best, best_score = model, score
     return best, tried

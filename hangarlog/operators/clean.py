@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from hangarlog.functions.dates import parse_mixed_dates, to_number
-from hangarlog.functions.text import normalize_code, normalize_writeup, strip
+from hangarlog.functions.text import blank_to_null, normalize_writeup
 from hangarlog.schema import RECORD_SCHEMA
 
 WRITEUPS = {
@@ -17,6 +17,9 @@ WRITEUPS = {
 }
 
 
+IDENTIFIERS = ("asset_id", "job_id", "base", "discovered_code", "maint_type_code")
+
+
 def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
     """Columns of b that a has too, in b's order."""
     return [c for c in b.columns if c in a.columns]
@@ -57,7 +60,10 @@ def normalize_writeups(df: DataFrame) -> DataFrame:
 
 
 def clean_records(df: DataFrame) -> DataFrame:
-    """Typed, trimmed records from text columns; dates in any known encoding."""
+    """Typed, trimmed records from text columns; dates in any known encoding.
+
+    A blank identifier is none: it would be one giant job, asset or site.
+    """
     dates = [f.name for f in RECORD_SCHEMA if isinstance(f.dataType, T.DateType)]
     out = parse_mixed_dates(df, [c for c in dates if c in df.columns and dict(df.dtypes)[c] != "date"])
     typed = {}
@@ -65,9 +71,9 @@ def clean_records(df: DataFrame) -> DataFrame:
         if field.name not in df.columns:
             continue
         if field.name == "code":
-            typed["code"] = normalize_code("code")
-        elif field.name == "asset_id":
-            typed["asset_id"] = strip("asset_id")
+            typed["code"] = F.upper(blank_to_null("code"))
+        elif field.name in IDENTIFIERS:
+            typed[field.name] = blank_to_null(field.name)
         elif isinstance(field.dataType, T.DoubleType):
             typed[field.name] = to_number(field.name)
     return normalize_writeups(out.withColumns(typed))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hangarlog.functions.text import as_column, blank_to_null
+from hangarlog.functions.text import as_column, blank_to_null, normalize_code
 from hangarlog.functions.dates import to_number
 
 VALID_CODE = "^[A-Z0-9]{3,6}$"
@@ -66,7 +66,9 @@ def not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def confident_disagreements(df: DataFrame, truth: str = "truth", pred: str = "pred_1",
                             confidence: str = "confidence_1", floor: float = 90.0) -> DataFrame:
-    return df.where((F.col(truth) != F.col(pred)) & (to_number(confidence) >= floor))
+    """Rows whose label and first prediction differ once trimmed and in upper case; no prediction counts as wrong."""
+    differs = F.col(truth).isNotNull() & ~normalize_code(truth).eqNullSafe(normalize_code(pred))
+    return df.where(differs & (to_number(confidence) >= floor))
 
 
 def worksheet_columns(df: DataFrame, columns: Sequence[str], fill_in: Sequence[str]) -> DataFrame:

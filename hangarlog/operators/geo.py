@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hangarlog.functions.text import blank_to_null
 
-MAX_SITES = 10_000
-
 
 def base_key(c: Column | str = "base") -> Column:
     """The spelling bases are grouped on; null where blank."""
@@ -22,28 +20,34 @@ def base_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def site_list(gazetteer: DataFrame) -> Column:
-    """The gazetteer as one array in rank order, at most MAX_SITES long."""
-    rows = gazetteer.limit(MAX_SITES + 1).agg(
-        F.sort_array(F.collect_list(F.struct("rk", "keyword", "name", "lat", "lon"))).alias("sites")
+def site_of(bases: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """The first site whose keyword occurs in each base_key; bases without one are left out.
+
+    Every distinct base is cut into its substrings of the lengths that keywords
+    have, and these are joined to the keywords; the smallest rank wins. The
+    gazetteer may have any length.
+    """
+    lengths = gazetteer.agg(F.collect_set(F.length("keyword")).alias("lengths")).scalar()  # as many as a keyword has characters
+    each = bases.select("base_key").distinct().withColumn("n", F.explode(lengths)).where("n <= length(base_key)")
+    cut = each.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("base_key") - F.col("n") + 1))).select(
+        "base_key", F.substring("base_key", F.col("at"), F.col("n")).alias("keyword"))
+    first = F.min(F.struct("rk", "name", "lat", "lon")).alias("hit")
+    return (
+        cut.join(gazetteer.select("rk", "keyword", "name", "lat", "lon"), "keyword").groupBy("base_key").agg(first)
+        .select("base_key", F.col("hit.name").alias("site"), "hit.lat", "hit.lon")
     )
-    return rows.select(
-        F.when(F.size("sites") > MAX_SITES, F.raise_error(F.lit("gazetteer too long for a lookup list")))
-        .otherwise(F.col("sites"))
-        .alias("sites")
-    ).scalar()
 
 
 def with_site(counts: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Add the first site whose keyword occurs in the base, null if none does.
+    """Add the first site whose keyword occurs in the base, null if none does."""
+    return counts.join(site_of(counts, gazetteer), "base_key", "left").select(*counts.columns, "site", "lat", "lon")
 
-    Meant for counts per base, where a spelling comes up a few times at most.
-    """
-    hit = F.get(F.filter("sites", lambda s: F.contains(F.col("base_key"), s["keyword"])), F.lit(0))
+
+def geolocate_counts(df: DataFrame) -> DataFrame:
+    """Records of all codes per base."""
     return (
-        counts.withColumn("sites", site_list(gazetteer)).withColumn("hit", hit)
-        .withColumns({"site": F.col("hit.name"), "lat": F.col("hit.lat"), "lon": F.col("hit.lon")})
-        .drop("sites", "hit")
+        df.where("code IS NOT NULL").select(base_key().alias("base_key")).where("base_key IS NOT NULL")
+        .groupBy("base_key").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -57,16 +61,10 @@ def geolocate(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def geo_rollup(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Records per code and mapped site.
-
-    Unmapped counts go last and by a test that involves the count: a plain
-    test of the site is a test of the base, which the optimizer would move
-    down to every single record, lookup included.
-    """
-    mapped = F.when(F.col("site").isNotNull(), F.col("n")).otherwise(0)
+    """Records per code and mapped site."""
     return (
-        with_site(base_counts(df), gazetteer)
-        .groupBy("code", "site", "lat", "lon").agg(F.sum("n").alias("n")).where(mapped > 0)
+        with_site(base_counts(df), gazetteer).where("site IS NOT NULL")
+        .groupBy("code", "site", "lat", "lon").agg(F.sum("n").alias("n"))
     )
 
 
@@ -79,17 +77,21 @@ def geo_coverage(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def concentration(counts: DataFrame, place: str) -> DataFrame:
+def concentration(counts: DataFrame, place: str, places: DataFrame | None = None) -> DataFrame:
     """Records of a code at a place against what the place's share predicts.
 
     Works on counts per code and place. The totals of a code and of a place
-    are window sums over those counts, so nothing is joined.
+    are window sums over those counts, so nothing is joined. Where counts
+    holds some codes only, ``places`` has the place totals (n) of all codes.
     """
-    fleet = counts.agg(F.sum("n")).scalar()
+    fleet = (counts if places is None else places).agg(F.sum("n")).scalar()
     of_code = F.sum("n").over(Window.partitionBy("code"))
-    of_place = F.sum("n").over(Window.partitionBy(place))
+    if places is None:
+        totalled = counts.withColumn("place_total", F.sum("n").over(Window.partitionBy(place)))
+    else:
+        totalled = counts.join(places.select(place, F.col("n").alias("place_total")), place)
     return (
-        counts.withColumns({"code_total": of_code, "place_total": of_place})
+        totalled.withColumn("code_total", of_code)
         .withColumn("expected", F.col("code_total") * (F.col("place_total") / fleet))
         .where("expected > 0")
         .withColumn("index", F.col("n") / F.col("expected"))

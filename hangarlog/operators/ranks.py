@@ -14,14 +14,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hangarlog.plans.sizing import join_small
 
 
-def value_bucket(value: Column, resolution: int = 256) -> Column:
-    """A coarse number that never falls as the value rises.
+CELLS, STEPS, DOUBLINGS = 1024, 16, 20
 
-    Buckets get wider with the magnitude, 256 for each doubling, so both hours
-    and dollars spread over many and their number stays in the thousands.
+
+def value_bucket(value: Column, low: Column, high: Column) -> Column:
+    """A coarse number that never falls as the value rises, from the column's own range.
+
+    The range is cut into equal cells, and each cell again at distances from
+    its lower edge that grow by a constant factor. So values spread over many
+    buckets whether they lie evenly, close together far from zero, or crowded
+    near the low end. Infinite values lie outside all cells.
     """
-    steps = F.floor(F.log2(1.0 + F.abs(value)) * resolution)
-    return F.when(value < 0, -steps).otherwise(steps)
+    place = F.when(high > low, (value - low) / (high - low) * CELLS).otherwise(F.lit(0.0))
+    cell = F.least(F.floor(place), F.lit(CELLS - 1))
+    step = F.floor(F.log2(1.0 + F.greatest(place - cell, F.lit(0.0)) * float(1 << DOUBLINGS)) * STEPS)
+    inside = cell * ((DOUBLINGS + 1) * STEPS) + step
+    infinite = F.lit(float("inf"))
+    return F.when(value == infinite, F.lit(1 << 40)).when(value == -infinite, F.lit(-1)).otherwise(inside).cast("bigint")
 
 
 def keys_at_ranks(items: DataFrame, by: Sequence[str], ranks: Mapping[str, Column],
@@ -59,17 +68,19 @@ def keys_at_ranks(items: DataFrame, by: Sequence[str], ranks: Mapping[str, Colum
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles q0, q1, … per group, nulls left out.
+    """Linearly interpolated quantiles q0, q1, … per group, nulls and NaN left out.
 
     Equal values are counted before anything is ordered, so a group costs its
     distinct values, and those only in the buckets where a quantile lies.
     """
     keys = list(by)
     v = F.col(value).cast("double")
+    values = df.select(*keys, v.alias("key")).where("key IS NOT NULL AND NOT isnan(key)")
+    finite = values.where(F.abs("key") != float("inf"))
+    bound = lambda f: finite.agg(f("key")).scalar()
     items = (
-        df.select(*keys, v.alias("key")).where("key IS NOT NULL")
-        .groupBy(*keys, value_bucket(F.col("key")).alias("bucket"), "key")
-        .agg(F.count(F.lit(1)).alias("n"))
+        values.groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("bucket", value_bucket(F.col("key"), bound(F.min), bound(F.max)))
     )
     position = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
     ranks = {}
@@ -81,7 +92,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         F.max("total").alias("total"), *[at(name).alias(name) for name in ranks]
     )
     between = [
-        (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (pos - F.floor(pos))).alias(f"q{i}")
+        F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}"))  # also where both are infinite
+        .otherwise(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (pos - F.floor(pos))).alias(f"q{i}")
         for i, pos in enumerate(position)
     ]
     return wide.select(*keys, *between)

@@ -2,50 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Codes of one job that are paired with the others by one task.
+SPREAD = 256
+
 
-def cooccurring(df: DataFrame, n: int = 5, wide_job: int = 256) -> DataFrame:
+def spread_jobs(counts: DataFrame, spread: int = SPREAD) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairing of codes within jobs: counts per (job, code) by job and part.
+
+    A job's codes are dealt into parts of about ``spread`` codes on one side,
+    and its other side goes to each part, so a job with very many codes is
+    paired by as many tasks as it has parts. Ordinary jobs have one part.
+    """
+    widths = counts.groupBy("job_id").agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("parts"))
+    sized = counts.join(widths, "job_id")
+    left = sized.select("job_id", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int").alias("part"), "code")
+    right = sized.select("job_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                         F.col("code").alias("other"), F.col("n").alias("other_n"))
+    return left, right
+
+
+def cooccurring(df: DataFrame, n: int = 5, spread: int = SPREAD, codes: Sequence[str] | None = None) -> DataFrame:
     """For each code, the n other codes with most records on its jobs.
 
-    Records are first counted per job and code. Jobs with up to ``wide_job``
-    codes are paired within the job. A job with more would give a square of
-    pairs, so codes are grouped by the set of wide jobs they are on: all codes
-    with the same set see the same counts from wide jobs, and beyond the codes
-    already met on ordinary jobs only the n + 1 best of those can matter (one
-    of them may be the code itself). The result is exact for any width.
+    Records are first counted per job and code; pair counts are combined
+    map-side before they are shuffled by pair. With ``codes``, only these are
+    answered, and only their jobs are looked at.
     """
+    if codes is not None:
+        jobs = df.where(F.col("code").isin(*codes)).select("job_id").distinct()
+        df = df.join(jobs, "job_id", "left_semi")
     counts = (
         df.where("job_id IS NOT NULL AND code IS NOT NULL")
         .groupBy("job_id", "code").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("width", F.count(F.lit(1)).over(Window.partitionBy("job_id")))
     )
-    ordinary = counts.where(F.col("width").between(2, wide_job))
-    other = ordinary.select("job_id", F.col("code").alias("other"), F.col("n").alias("other_n"))
-    met = (
-        ordinary.select("job_id", "code").join(other, "job_id").where("code <> other")
-        .groupBy("code", "other").agg(F.sum("other_n").alias("n"))
-    )
-
-    wide = counts.where(F.col("width") > wide_job)
-    on_wide = wide.groupBy("code").agg(F.sort_array(F.collect_set("job_id")).alias("jobs"))
-    seen_there = (
-        on_wide.select("jobs").distinct().select("jobs", F.explode("jobs").alias("job_id"))
-        .join(wide.select("job_id", F.col("code").alias("other"), "n"), "job_id")
-        .groupBy("jobs", "other").agg(F.sum("n").alias("wide_n"))
-    )
-    order = Window.partitionBy("jobs").orderBy(F.desc("wide_n"), F.asc("other"))
-    leaders = seen_there.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n + 1)
-    from_wide = (
-        on_wide.join(leaders, "jobs").where("code <> other")
-        .select("code", "other", F.lit(0).cast("bigint").alias("n"))
-    )
-
+    left, right = spread_jobs(counts, spread)
+    if codes is not None:
+        left = left.where(F.col("code").isin(*codes))
     scored = (
-        met.unionByName(from_wide).groupBy("code", "other").agg(F.sum("n").alias("n"))
-        .join(on_wide, "code", "left")
-        .join(seen_there, ["jobs", "other"], "left")
-        .select("code", "other", (F.col("n") + F.coalesce("wide_n", F.lit(0))).alias("n"))
+        left.join(right, ["job_id", "part"]).where("code <> other")
+        .groupBy("code", "other").agg(F.sum("other_n").alias("n"))
     )
     best = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), F.asc("other")))
     return scored.withColumn("rank", best).where(F.col("rank") <= n)

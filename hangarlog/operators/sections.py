@@ -147,11 +147,12 @@ def affected_assets(df: DataFrame) -> DataFrame:
     )
 
 
-def labor_burden(df: DataFrame) -> DataFrame:
+def labor_burden(df: DataFrame, fleet_of: DataFrame | None = None) -> DataFrame:
     """Hours per code and how they compare to the fleet.
 
     burden_index is the code's share of fleet hours over its share of fleet
-    records, both over rows with hours.
+    records, both over rows with hours. The fleet is df, or ``fleet_of`` where
+    df holds some codes only.
     """
     known = df.where("labor_hours IS NOT NULL AND code IS NOT NULL")
     per_code = known.groupBy("code").agg(
@@ -160,7 +161,11 @@ def labor_burden(df: DataFrame) -> DataFrame:
         F.max("labor_hours").alias("max_hours"),
         F.count("labor_hours").alias("n"),
     )
-    fleet = per_code.agg(F.struct(F.sum("total_hours").alias("hours"), F.sum("n").alias("n"))).scalar()
+    if fleet_of is None:
+        fleet = per_code.agg(F.struct(F.sum("total_hours").alias("hours"), F.sum("n").alias("n"))).scalar()
+    else:
+        every = fleet_of.where("labor_hours IS NOT NULL AND code IS NOT NULL")
+        fleet = every.agg(F.struct(F.sum("labor_hours").alias("hours"), F.count("labor_hours").alias("n"))).scalar()
     medians = exact_quantiles(known, "labor_hours", [0.5], by=["code"]).withColumnRenamed("q0", "median_hours")
     labor_share = F.col("total_hours") / F.nullif(F.col("fleet.hours"), F.lit(0.0))
     record_share = F.col("n") / F.col("fleet.n")
@@ -187,7 +192,7 @@ def _spread(edges: Sequence[float | None]) -> bool:
 
 
 def hour_bands(df: DataFrame, column: str = "flight_hours",
-               edges: Sequence[float] | None = None) -> DataFrame:
+               edges: Sequence[float] | None = None, fleet_of: DataFrame | None = None) -> DataFrame:
     """Records per code in four bands between the fleet's quartiles.
 
     Bands are closed on the right, the first starts above -1, empty ones are
@@ -196,7 +201,7 @@ def hour_bands(df: DataFrame, column: str = "flight_hours",
     """
     known = df.where((F.col(column).isNotNull()) & F.col("code").isNotNull())
     if edges is None:
-        row = quartile_edges(df, column).first()
+        row = quartile_edges(df if fleet_of is None else fleet_of, column).first()
         edges = list(row) if row else [None]
     if _spread(edges):
         known = known.withColumns({f"q{i}": F.lit(float(e)) for i, e in enumerate(edges)})

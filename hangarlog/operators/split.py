@@ -92,19 +92,20 @@ def split_counts(df: DataFrame, label: str) -> DataFrame:
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """Exactly n rows (or all, if fewer), overall or per group, in hash order.
 
-    Overall this is a top-n; per group Spark keeps only the n best of a group
-    in each partition before it shuffles.
+    The last digest inside the sample is looked for and every row compared
+    with it, so no task gathers a large sample. ``key`` is unique.
     """
-    digest = hash_order(key, seed)
-    if not by:
-        return df.orderBy(digest).limit(n)
-    ranked = F.row_number().over(Window.partitionBy(*by).orderBy("_digest"))
-    return (
-        df.withColumn("_digest", digest).withColumn("_rank", ranked)
-        .where(F.col("_rank") <= n).drop("_digest", "_rank")
-    )
+    quota = F.least(F.lit(n).cast("bigint"), F.col("total"))
+    return mark_first(df, by, key, seed, quota, "_sampled").where("_sampled").drop("_sampled")
 
 
 def exclude_seen(df: DataFrame, seen: DataFrame, text: str = "text") -> DataFrame:
-    """Rows whose text is not among those seen."""
-    return df.join(seen.select(text).distinct(), text, "left_anti")
+    """Rows whose text is not among those seen.
+
+    Texts are matched on 128 bits of digest, so that neither side ships whole
+    texts of the seen records, and rows of one common text are spread by AQE.
+    """
+    digest = lambda c: [F.xxhash64(c).alias("_d1"), F.xxhash64(F.lit(29), c).alias("_d2")]
+    known = seen.select(*digest(F.col(text))).distinct()
+    keyed = df.select("*", *digest(F.col(text)))
+    return keyed.join(known, ["_d1", "_d2"], "left_anti").drop("_d1", "_d2")

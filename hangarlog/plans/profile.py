@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hangarlog.functions.dates import month_name
-from hangarlog.operators.geo import concentration, with_site
+from hangarlog.operators.geo import concentration, geolocate_counts, with_site
 from hangarlog.operators.quality import require_columns
 from hangarlog.operators.related import cooccurring
 from hangarlog.operators.sections import (
@@ -39,11 +39,11 @@ def profile(records: DataFrame, dictionary: DataFrame | None = None, gazetteer:
     """Why, when, where, at what cost and with what each code occurs.
 
     The count-based sections come from one table of counts per code, facet
-    and item. It is checkpointed, so a single scan of the records feeds them
-    all and a lost executor does not bring that scan back. The sections meet
-    in one grouping by code instead of a join each. ``codes`` restricts the
-    result; fleet totals always cover all records, and a code without records
-    has a row with total 0.
+    and item, which is checkpointed, so a lost executor does not bring the
+    scan behind it back. The sections meet in one grouping by code instead of
+    a join each. ``codes`` restricts the scans of all sections to these codes'
+    records and jobs; only fleet totals, which are a few sums, then cover all
+    records. A code without records has a row with total 0.
     """
     spark = records.sparkSession
     require_columns(records)
@@ -51,7 +51,9 @@ def profile(records: DataFrame, dictionary: DataFrame | None = None, gazetteer:
     discovery = discovery_phases(spark) if discovery is None else discovery
     maintenance = maintenance_phases(spark) if maintenance is None else maintenance
     ensure_checkpoint_dir(spark)
-    facets = facet_counts(records, FACETS).checkpoint()
+    wanted = None if codes is None else [c.strip().upper() for c in codes]
+    mine = records if wanted is None else records.where(F.col("code").isin(*wanted))
+    facets = facet_counts(mine, FACETS).checkpoint()
     of = lambda name: facets.where(F.col("facet") == name).select("code", "item", "n")
     item, n, rank = F.col("item"), F.col("n"), F.col("rank")
 
@@ -86,7 +88,8 @@ def profile(records: DataFrame, dictionary: DataFrame | None = None, gazetteer:
         F.coalesce(F.sum(F.when(F.col("site").isNotNull(), n)), F.lit(0).cast("bigint")).alias("mapped"),
         F.sum("n").alias("total"),
     ).alias("site_coverage"))
-    dense = _ranked(concentration(bases, "base_key"), "base_key").where("rank <= 8")
+    everywhere = None if wanted is None else geolocate_counts(records)
+    dense = _ranked(concentration(bases, "base_key", everywhere), "base_key").where("rank <= 8")
     dense_list = _collected(dense, "concentration", rank, base=F.col("base_key"), records=n,
                             expected=F.col("expected"), index=F.col("index"))
 
@@ -95,24 +98,23 @@ def profile(records: DataFrame, dictionary: DataFrame | None = None, gazetteer:
         return _collected(_ranked(per_phase, "phase"), name, rank, item=F.col("phase"), n=n)
 
     stop = data_end(records) if end is None else F.lit(str(end)).cast("date")
-    burden = labor_burden(records)
+    burden = labor_burden(mine, None if wanted is None else records)
     way = trend_of(years, stop)
-    bands = _collected(hour_bands(records), "hour_bands", F.col("band_no"), band=F.col("band"), label=F.col("label"), n=n)
-    together = _collected(cooccurring(records), "cooccurring", rank, item=F.col("other"), n=n)
+    bands = _collected(hour_bands(mine, fleet_of=records), "hour_bands", F.col("band_no"), band=F.col("band"), label=F.col("label"), n=n)
+    together = _collected(cooccurring(records, codes=wanted), "cooccurring", rank, item=F.col("other"), n=n)
     packed = lambda df, name: df.select("code", F.struct(*[c for c in df.columns if c != "code"]).alias(name))
 
     sections = [
-        packed(affected_assets(records), "totals"), tops, months, year_list, matrix, site_list, cover, dense_list,
+        packed(affected_assets(mine), "totals"), tops, months, year_list, matrix, site_list, cover, dense_list,
         phase_list("discovered", discovery), phase_list("maint_type", maintenance), packed(burden, "labor"),
         packed(way, "trend"), bands, together,
     ]
     stacked = sections[0]
     for section in sections[1:]:
         stacked = stacked.unionByName(section, allowMissingColumns=True)
-    if codes is not None:
-        wanted = [c.strip().upper() for c in codes]
+    if wanted is not None:
         asked = spark.createDataFrame([(c,) for c in wanted], "code string")
-        stacked = stacked.where(F.col("code").isin(*wanted)).unionByName(asked, allowMissingColumns=True)
+        stacked = stacked.unionByName(asked, allowMissingColumns=True)
     columns = [c for c in stacked.columns if c != "code"]
     rows = stacked.groupBy("code").agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
     if dictionary is None:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from hangarlog.functions.text import build_text, normalize_code
-from hangarlog.operators.classify import describe_predictions, predict_topk
+from hangarlog.operators.classify import CountModel, describe_predictions, predict_topk
 from hangarlog.operators.clean import dedupe
 from hangarlog.operators.filters import long_enough, valid_label, worksheet_columns
 from hangarlog.operators.split import exclude_seen, rare_filter, seeded_sample, split
@@ -28,13 +27,18 @@ def prepare_training(records: DataFrame, key: str = "record_id", label: str = "c
     return split(frequent, label, key, seed)
 
 
-def batch_predict(records: DataFrame, model: PipelineModel, dictionary: DataFrame, seen: DataFrame | None = None,
+def batch_predict(records: DataFrame, model: CountModel, dictionary: DataFrame, seen: DataFrame | None = None,
                   key: str = "record_id", label: str = "code", fields: Sequence[str] = TEXT_FIELDS, k: int = 3,
-                  sample: int | None = None, seed: int = 42) -> DataFrame:
-    """Predictions for every record, less those the model has seen, sampled if asked."""
+                  sample: int | None = None, seed: int = 42, text_column: str | None = None) -> DataFrame:
+    """Predictions for every record, less those the model has seen, sampled if asked.
+
+    ``text_column`` names a column that already holds the model's input;
+    otherwise it is built from the fields.
+    """
     present = [c for c in fields if c in records.columns]
     truth = [F.col(label).alias("truth")] if label in records.columns else []
-    rows = records.select(key, *truth, *present, build_text(present, upper=True).alias("model_input"))
+    built = F.upper(text_column) if text_column else build_text(present, upper=True)
+    rows = records.select(key, *truth, *present, built.alias("model_input"))
     if seen is not None:
         rows = exclude_seen(rows, seen.select(F.upper("text").alias("model_input")), "model_input")
     if sample is not None:

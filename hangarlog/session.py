@@ -13,12 +13,28 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # HotSpot never compiles a method above 8000 bytes of bytecode. A projection
     # that long is better split into smaller methods than fused into one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+#: Bytes that a shuffle partition should hold at the start; AQE merges smaller ones.
+PARTITION_BYTES = 128 << 20
+
+
+def shuffle_partitions(input_bytes: int, least: int = 200) -> int:
+    """A starting number of shuffle partitions for an input of this size.
+
+    AQE merges partitions but never makes more, so a large input needs enough
+    of them from the start: pass the result as
+    spark.sql.adaptive.coalescePartitions.initialPartitionNum.
+    """
+    return max(least, -(-input_bytes // PARTITION_BYTES))
+
+
 def build_session(app_name: str = "hangarlog", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:

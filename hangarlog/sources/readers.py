@@ -12,12 +12,11 @@ from hangarlog.schema import RAW_SCHEMA, RECORD_COLUMNS
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
-             multiline: bool = True) -> DataFrame:
+             multiline: bool = False) -> DataFrame:
     """CSV with a header. Without a schema every column is text; nothing is inferred.
 
-    Write-ups may hold line breaks, so quoted fields may span lines. That makes
-    one file one task; pass ``multiline=False`` for extracts known to have no
-    line breaks in a field, and Spark splits the files.
+    Spark splits large files. Extracts whose quoted fields may hold line breaks
+    need ``multiline=True``, which makes one file one task.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     reader = reader.option("multiLine", multiline).option("escape", '"')
@@ -32,11 +31,11 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequen
     return df.select(*columns) if columns else df
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Parquet or CSV, told apart by the suffix."""
     if path.lower().rstrip("/").endswith(".parquet"):
         return read_parquet(spark, path)
-    return read_csv(spark, path)
+    return read_csv(spark, path, multiline=multiline)
 
 
 def rename_columns(df: DataFrame) -> DataFrame:
@@ -47,18 +46,18 @@ def rename_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: names[c] for c in df.columns if c in names})
 
 
-def load_records(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None) -> DataFrame:
+def load_records(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None, multiline: bool = False) -> DataFrame:
     """A record table under our column names, still untyped text when from CSV."""
     paths = [path] if isinstance(path, str) else list(path)
     fmt = fmt or ("parquet" if all(p.lower().rstrip("/").endswith(".parquet") for p in paths) else "csv")
     if fmt == "parquet":
         return rename_columns(read_parquet(spark, paths))
-    return rename_columns(read_csv(spark, paths))
+    return rename_columns(read_csv(spark, paths, multiline=multiline))
 
 
-def read_raw_extract(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_raw_extract(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
     """An extract with exactly the known source columns, by the declared schema."""
-    return rename_columns(read_csv(spark, path, schema=RAW_SCHEMA))
+    return rename_columns(read_csv(spark, path, schema=RAW_SCHEMA, multiline=multiline))
 
 
 def read_code_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +70,33 @@ def read_code_dictionary(spark: SparkSession, path: str) -> DataFrame:
     ).where("code IS NOT NULL AND description IS NOT NULL")
 
 
+DICTIONARY_SCHEMA = "code string, description string"
+
+
+def load_code_dictionary(spark: SparkSession, json_path: str | None = None, csv_path: str | None = None) -> DataFrame:
+    """Code and description: the JSON map first, the CSV for codes it lacks; empty where neither is given or there.
+
+    A file that exists but cannot be read is an error, not an empty dictionary.
+    """
+    def there(path: str | None) -> bool:
+        if not path:
+            return False
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+    parts = []
+    if there(json_path):
+        mapped = read_json_map(spark, json_path, "code", "description")
+        parts.append(mapped.select(blank_to_null(F.upper("code")).alias("code"), "description", F.lit(0).alias("order")))
+    if there(csv_path):
+        parts.append(read_code_dictionary(spark, csv_path).withColumn("order", F.lit(1)))
+    if not parts:
+        return spark.createDataFrame([], DICTIONARY_SCHEMA)
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    best = F.min(F.struct("order", "description")).alias("best")
+    return both.where("code IS NOT NULL AND description IS NOT NULL").groupBy("code").agg(best).select("code", "best.description")
+
+
 def read_json_map(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
     """A file holding one JSON object, as one row per member."""
     document = spark.read.text(path, wholetext=True)

@@ -15,7 +15,7 @@ def write_records(df: DataFrame, path: str, date_column: str = "start_date") ->
     year = f"year({date_column})"
     (
         df.selectExpr("*", f"{year} AS record_year")
-        .repartition("record_year", "code")
+        .hint("rebalance", "record_year", "code")  # a frequent code is split over tasks and files
         .sortWithinPartitions("record_year", "code")
         .write.mode("overwrite")
         .partitionBy("record_year")

@@ -113,7 +113,7 @@ def test_train_predict_and_worksheet(spark, frame):
     codes = list(words)
     recs = frame([row(i, code=codes[i % 3], text=f"{words[codes[i % 3]]} NUMBER {i}", fix=f"FIXED {i}") for i in range(90)])
     ready = scoring.prepare_training(recs)
-    model = classify.train_classifier(ready.where("split = 'train'"), "code", features=1 << 12)
+    model = classify.train_classifier(ready.where("split = 'train'"), "code")
     dictionary = spark.createDataFrame([("11AAA", "Pump")], "code string, description string")
     seen = ready.where("split = 'train'").select("text")
     out = scoring.batch_predict(recs, model, dictionary, seen)
@@ -125,8 +125,40 @@ def test_train_predict_and_worksheet(spark, frame):
     assert 0 <= one.confidence_2 <= one.confidence_1 <= 100
     sheet = scoring.labeling_worksheet(out, 2)
     assert {"true_code", "notes"} <= set(sheet.columns) and sheet.count() >= 2
-    with pytest.raises(ValueError, match="model cells"):
-        classify.train_classifier(recs.select("code", F.col("discrepancy").alias("text")), "code", features=1 << 30)
+    ready_made = recs.withColumn("body", F.col("discrepancy"))
+    same = scoring.batch_predict(ready_made, model, dictionary, text_column="body", sample=10)
+    assert same.count() == 10 and same.where("pred_1 <> truth").count() == 0
+
+
+def test_naive_bayes_matches_its_definition(spark):
+    long_text = " ".join(["pump"] * 300 + ["seal"] * 5)
+    rows = [("a", long_text), ("a", "valve"), ("b", "seal seal valve"), ("b", "radio"), (None, "ignored")]
+    df = spark.createDataFrame(rows, "label string, text string")
+    model = classify.train_classifier(df, "label", smoothing=0.5)
+    asked = ["seal valve", "pump radio", "unheard of", None, ""]
+    got = {r.text: r.preds for r in classify.predict_topk(model, spark.createDataFrame([(t,) for t in asked], "text string"), 2).collect()}
+    counts = {c: Counter(w for l, t in rows if l == c for w in t.split()) for c in "ab"}
+    size = len(set(counts["a"]) | set(counts["b"]))
+    for text in asked[:2]:
+        words = text.split()
+        score = {c: sum(math.log((counts[c][w] + 0.5) / (sum(counts[c].values()) + 0.5 * size)) for w in words) for c in "ab"}
+        shared = {c: s for c, s in score.items() if any(counts[c][w] for w in words)}
+        total = sum(math.exp(s) for s in shared.values())
+        best = sorted(shared, key=lambda c: -shared[c])
+        assert [p.code for p in got[text]] == best
+        assert [p.confidence for p in got[text]] == [pytest.approx(100 * math.exp(shared[c]) / total) for c in best]
+    assert got["unheard of"] is None and got[None] is None and got[""] is None
+
+
+def test_continued_training_equals_training_on_all(spark):
+    a = spark.createDataFrame([("x", "one two"), ("y", "two three")], "label string, text string")
+    b = spark.createDataFrame([("x", "three three"), ("z", "four")], "label string, text string")
+    counts = classify.add_counts(classify.token_counts(a, "label"), classify.token_counts(b, "label"), "label")
+    rows = a.unionByName(b)
+    continued = classify.fit_counts(counts, classify.label_counts(rows, "label"), "label")
+    whole = classify.train_classifier(rows, "label")
+    asked = spark.createDataFrame([("three",), ("two four",)], "text string")
+    assert table(classify.predict_topk(continued, asked)) == table(classify.predict_topk(whole, asked))
 
 
 def test_token_counts_add_up(frame):

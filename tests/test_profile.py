@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import row, table
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def test_related_codes_for_any_job_width(frame):
     df = frame([row(i, code=c, job=j) for i, (j, c) in enumerate(pairs)] + [row(9999, job=None)])
     want = _brute_related(pairs, 5)
     for width in (1, 3, 8, 1000):
-        assert table(related.cooccurring(df, wide_job=width), "code", "other", "n", "rank") == want, width
+        assert table(related.cooccurring(df, spread=width), "code", "other", "n", "rank") == want, width
 
 
 def test_profile_and_its_text(spark, frame):
@@ -138,3 +139,55 @@ def test_facets_in_one_scan_match_single_ones(frame):
     for name in names:
         apart += table(sections.facet_counts(df, [name]))
     assert table(sections.facet_counts(df, names)) == sorted(apart, key=str)
+
+
+def test_quantile_buckets_stay_small(spark):
+    rng = random.Random(3)
+    columns = {
+        "tiny": [rng.random() / 1000 for _ in range(20_000)],
+        "month": [1.7e9 + rng.random() * 2.6e6 for _ in range(20_000)],
+        "outlier": [1.7e9 + rng.random() * 2.6e6 for _ in range(20_000)] + [0.0],
+    }
+    for name, values in columns.items():
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        low, high = F.lit(min(values)), F.lit(max(values))
+        fullest = df.groupBy(ranks.value_bucket(F.col("v"), low, high).alias("b")).count().agg(F.max("count")).first()[0]
+        assert fullest <= len(values) / 30, name
+        ordered = sorted(values)
+        got = ranks.exact_quantiles(df, "v", [0.0, 0.5, 1.0]).first()
+        middle = (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
+        assert (got.q0, got.q2) == (ordered[0], ordered[-1]) and got.q1 == pytest.approx(middle)
+
+
+def test_nan_and_infinity_in_quantiles(spark):
+    df = spark.createDataFrame([(float(v),) for v in ("nan", "inf", "-inf", "1", "2", "3")] + [(None,)], "v double")
+    got = ranks.exact_quantiles(df, "v", [0.0, 0.5, 1.0]).first()
+    assert (got.q0, got.q1, got.q2) == (float("-inf"), 2.0, float("inf"))
+    same = spark.createDataFrame([(5.0,)] * 4, "v double")
+    assert ranks.exact_quantiles(same, "v", [0.5]).first().q0 == 5.0
+
+
+def test_a_wide_job_spreads_over_tasks(frame):
+    df = frame([row(i, code=f"c{i:04d}", job="wide") for i in range(600)])
+    counts = df.groupBy("job_id", "code").count().withColumnRenamed("count", "n")
+    largest = {}
+    for spread in (1000, 100):
+        left, _ = related.spread_jobs(counts, spread)
+        largest[spread] = left.groupBy("job_id", "part").count().agg(F.max("count")).first()[0]
+    assert largest[1000] == 600 and largest[100] < 200
+
+
+def test_a_long_gazetteer(spark, frame):
+    sites = spark.createDataFrame([(i, f"KEY{i:05d}", f"Site {i}", float(i), 0.0) for i in range(20_000)], "rk int, keyword string, name string, lat double, lon double")
+    df = frame([row(1, base="at key00042 field"), row(2, base="KEY19999 KEY00007"), row(3, base="none"), row(4, base=None)])
+    got = {r.base_key: r.site for r in geo.geolocate(df, sites).collect()}
+    assert got == {"AT KEY00042 FIELD": "Site 42", "KEY19999 KEY00007": "Site 7", "NONE": None}
+
+
+def test_a_profile_of_some_codes_is_the_same_as_of_all(spark, frame):
+    rng = random.Random(12)
+    rows = [row(i, day=f"{2019 + i % 5}-0{1 + i % 9}-10", base=rng.choice(("SCOTT", "ALTUS", "X")), hours=float(rng.randint(0, 90)), labor=float(rng.randint(1, 9)),
+                job=f"j{rng.randint(0, 15)}", code=rng.choice(("11AAA", "12BBB", "13CCC"))) for i in range(120)]
+    whole = {r.code: r for r in profile(frame(rows)).collect()}
+    some = {r.code: r for r in profile(frame(rows), codes=["11AAA", "13CCC"]).collect()}
+    assert set(some) == {"11AAA", "13CCC"} and all(some[c] == whole[c] for c in some)

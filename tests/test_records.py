@@ -131,3 +131,26 @@ def test_join_small_without_broadcast(spark, monkeypatch):
     with_hint = table(sizing.join_small(big, small, ["k"]))
     monkeypatch.setattr(sizing, "fits_broadcast", lambda df: False)
     assert table(sizing.join_small(big, small, ["k"])) == with_hint and len(with_hint) == 80
+
+
+def test_nan_text_is_no_number_and_blank_keys_are_none(spark):
+    raw = spark.createDataFrame([("11aaa", " ", "nan", "j1", ""), ("", "57-1", "2.5", " ", "A")],
+                                "code string, asset_id string, labor_hours string, job_id string, discovered_code string")
+    got = {tuple(r) for r in clean.clean_records(raw).select("code", "asset_id", "labor_hours", "job_id", "discovered_code").collect()}
+    assert got == {("11AAA", None, None, "j1", None), (None, "57-1", 2.5, None, "A")}
+
+
+def test_confident_disagreements_compare_normalised_labels(spark):
+    df = spark.createDataFrame([(" 11aaa", "11AAA", 95.0), ("11AAA", None, 95.0), ("11AAA", "11AAB", 95.0), (None, "11AAB", 95.0), ("a", "b", 10.0)],
+                               "truth string, pred_1 string, confidence_1 double")
+    got = sorted((str(r.truth), str(r.pred_1)) for r in filters.confident_disagreements(df).collect())
+    assert got == [("11AAA", "11AAB"), ("11AAA", "None")]
+
+
+def test_dictionary_chain(spark, tmp_path):
+    (tmp_path / "map.json").write_text('{"11aaa": "From JSON", "12BBB": "Only JSON"}')
+    (tmp_path / "codes.csv").write_text("wuc_code,description\n11AAA,From CSV\n13CCC,Only CSV\n")
+    both = readers.load_code_dictionary(spark, str(tmp_path / "map.json"), str(tmp_path / "codes.csv"))
+    assert dict(table(both)) == {"11AAA": "From JSON", "12BBB": "Only JSON", "13CCC": "Only CSV"}
+    assert dict(table(readers.load_code_dictionary(spark, str(tmp_path / "none.json"), str(tmp_path / "codes.csv")))) == {"11AAA": "From CSV", "13CCC": "Only CSV"}
+    assert readers.load_code_dictionary(spark, str(tmp_path / "none.json")).count() == 0
