@@ -340,3 +340,34 @@ def _(spark, d):
     preds = F.when(c >= 50, F.array(guess(F.col("pred_1"), c), guess(F.col("truth"), F.floor(c) / 8))).otherwise(
         F.array(guess(F.col("pred_1"), c)))
     return evaluate.wide_predictions(predicted(spark, d).select("record_id", preds.alias("preds")), 3)
+
+
+@query("m8_adjudication_with_texts", sql("predicted records", """
+    SELECT p.record_id, discrepancy, corrective_action, pred_1 AS model_says, round_even(confidence_1, 1) AS model_confidence,
+           truth AS existing_label, '' AS which_is_correct, '' AS correct_code_if_neither, '' AS expert_notes
+    FROM predicted p JOIN records r USING (record_id) WHERE truth <> pred_1 AND confidence_1 >= 90 ORDER BY confidence_1 DESC, p.record_id LIMIT 25"""))
+def _(spark, d):
+    texts = star.records(spark, d).select("record_id", "discrepancy", "corrective_action")
+    return evaluate.adjudication(predicted(spark, d).join(texts, "record_id"))
+
+
+# Half of the labels cannot be given; what is left is judged.
+KNOWN = "SELECT DISTINCT code FROM records WHERE substr(code, 2, 1) IN ('0', '2', '4', '6', '8')"
+
+
+@query("a29_agreement_answerable", sql("predicted records", """
+    SELECT count(*) AS n, avg(cast(truth = pred_1 as int)) AS exact,
+           avg(cast(substr(truth,1,3) = substr(pred_1,1,3) as int)) AS same_subsystem,
+           avg(cast(substr(truth,1,2) = substr(pred_1,1,2) as int)) AS same_system FROM predicted WHERE truth IN (SELECT code FROM known)""", known=KNOWN))
+def _(spark, d):
+    codes = star.records(spark, d).select("code").distinct().where(F.substring("code", 2, 1).isin("0", "2", "4", "6", "8"))
+    return evaluate.agreement(predicted(spark, d), labels=codes)
+
+
+@query("a30_error_character_answerable", sql("predicted records", """
+    SELECT kind, count(*) AS n, 100.0::double * count(*) / sum(count(*)) OVER () AS pct FROM (
+      SELECT CASE WHEN substr(truth,1,3) = substr(pred_1,1,3) THEN 'near_miss' WHEN substr(truth,1,2) = substr(pred_1,1,2) THEN 'same_system'
+                  ELSE 'different_system' END AS kind FROM predicted WHERE truth <> pred_1 AND truth IN (SELECT code FROM known)) x GROUP BY 1""", known=KNOWN))
+def _(spark, d):
+    codes = star.records(spark, d).select("code").distinct().where(F.substring("code", 2, 1).isin("0", "2", "4", "6", "8"))
+    return evaluate.error_character(predicted(spark, d), labels=codes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hangarlog.functions.arrays import entry
 from hangarlog.functions.dates import to_number
@@ -12,6 +12,7 @@ from hangarlog.functions.labels import confidence_band, reliability_bin
 from hangarlog.functions.text import normalize_code, snippet, subsystem_of, system_of
 from hangarlog.operators.filters import confident_disagreements, worksheet_columns
 from hangarlog.operators.ranks import exact_quantiles
+from hangarlog.schema import TEXT_FIELDS
 
 
 def _share(flag: Column) -> Column:
@@ -36,17 +37,25 @@ def _same(f: Column | None = None) -> dict[str, Column]:
     }
 
 
-def agreement(df: DataFrame, truth: str = "truth", pred: str = "pred_1") -> DataFrame:
-    """Share of records right in full, by subsystem and by system."""
+def _answerable(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs whose truth is in the label space; all of them where none is given."""
+    if labels is None:
+        return pairs
+    known = labels.select(normalize_code(labels.columns[0]).alias("truth")).distinct()
+    return pairs.join(known, "truth", "left_semi")
+
+
+def agreement(df: DataFrame, truth: str = "truth", pred: str = "pred_1", labels: DataFrame | None = None) -> DataFrame:
+    """Share of records right in full, by subsystem and by system; of answerable records where labels are given."""
     total = F.sum("n")
     hit = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0)) / total
-    return pair_counts(df, truth, pred).agg(total.alias("n"), *[hit(flag).alias(k) for k, flag in _same().items()])
+    return _answerable(pair_counts(df, truth, pred), labels).agg(total.alias("n"), *[hit(flag).alias(k) for k, flag in _same().items()])
 
 
-def error_character(df: DataFrame, truth: str = "truth", pred: str = "pred_1") -> DataFrame:
-    """Disagreements by how far off they are."""
+def error_character(df: DataFrame, truth: str = "truth", pred: str = "pred_1", labels: DataFrame | None = None) -> DataFrame:
+    """Disagreements by how far off they are; labels the model cannot give are left out where a label space is given."""
     same = _same()
-    wrong = pair_counts(df, truth, pred).where(~same["exact"])
+    wrong = _answerable(pair_counts(df, truth, pred), labels).where(~same["exact"])
     kind = (
         F.when(same["same_subsystem"], "near_miss").when(same["same_system"], "same_system").otherwise("different_system")
     )
@@ -130,10 +139,10 @@ def coverage(df: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
 
 
 def calibration(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows and top-1 accuracy per confidence band, on answerable rows."""
+    """Rows and top-1 accuracy per confidence band, on answerable rows; on all labelled ones where none is answerable."""
     c = _by_truth(df, labels, [confidence_band(F.col("confidence_1")).alias("band")])
     return (
-        c.where("known").groupBy("band")
+        c.withColumn("any_known", F.max("known").over(Window.partitionBy())).where("known OR NOT any_known").groupBy("band")
         .agg(F.sum("n").alias("n"), (F.sum("top1_hits") / F.sum("n")).alias("top1"))
     )
 
@@ -226,8 +235,8 @@ def compare_predictions(old: DataFrame, new: DataFrame, key: str = "record_id")
 
 
 def adjudication(df: DataFrame, n: int = 25, floor: float = 90.0, key: str = "record_id",
-                 columns: Sequence[str] = ()) -> DataFrame:
-    """The most confident disagreements as a sheet to be filled in."""
+                 columns: Sequence[str] = (*TEXT_FIELDS, "model_input")) -> DataFrame:
+    """The most confident disagreements as a sheet to be filled in, with the texts to judge them by."""
     best = (
         confident_disagreements(df, floor=floor)
         .withColumn("_confidence", to_number("confidence_1"))

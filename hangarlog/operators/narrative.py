@@ -169,10 +169,10 @@ def answer_text(total: DataFrame, discrepancies: DataFrame, fixes: DataFrame, to
     return total.select(F.when(F.col("total") == 0, "No matching records found.").otherwise(found).alias("answer"))
 
 
-def code_list_text(breakdown: DataFrame) -> DataFrame:
-    """Numbered list of labelled codes from a short top-n table (label, n)."""
+def code_list_text(breakdown: DataFrame, top: int = 10) -> DataFrame:
+    """Numbered list of the first labelled codes of a table (label, n), however long it is."""
     order = F.struct((-F.col("n")).alias("neg"), F.col("label"))
-    rows = breakdown.agg(F.sort_array(F.collect_list(order)).alias("l"))
+    rows = breakdown.orderBy(F.desc("n"), F.asc("label")).limit(top).agg(F.sort_array(F.collect_list(order)).alias("l"))
     lines = F.transform("l", lambda e, i: F.format_string("%s. %s %s", i + 1, F.rpad(e["label"], F.greatest(F.lit(60), F.length(e["label"])), F.lit(" ")), -e["neg"]))
     return rows.select(F.when(F.size("l") > 0, F.concat(
         F.lit("Top Problem Areas (WUC):\n"), F.array_join(lines, "\n"), F.lit("\n"))).alias("listing"))

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hangarlog.plans.sizing import join_small
+from hangarlog.session import ensure_checkpoint_dir
 
 
 CELLS, STEPS, DOUBLINGS = 1024, 16, 20
@@ -45,6 +46,9 @@ def keys_at_ranks(items: DataFrame, by: Sequence[str], ranks: Mapping[str, Colum
     few buckets to look into are sent to them.
     """
     keys = list(by)
+    if raw_rows:  # read for the bucket totals and again for the ranks
+        ensure_checkpoint_dir(items.sparkSession)
+        items = items.checkpoint()
     totals = items.groupBy(*keys, "bucket").agg(F.sum("n").alias("held"))
     group = Window.partitionBy(*keys)
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
