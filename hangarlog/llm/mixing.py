@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from hangarlog.llm.frames import free_name, row_key, sorted_groups, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 20_000
+#: Rows of a bucket, over all sources; a bucket's part of a source is rounded by one task.
+BUCKET_ROWS = 2_000
 FAN = 16
 
 UNIT = T.StructType([
@@ -141,17 +142,17 @@ def copy_counts(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: fl
         F.floor("rate").cast("long").alias("copies"),
         F.when((fraction > 0) & (F.col("size") > 0), fraction).alias("frac"))
 
-    def paired(rows: DataFrame, width: int) -> DataFrame:
+    def paired(rows: DataFrame) -> DataFrame:
         # Large documents first: the one left over in the end is then a small one.
-        spread = rows.repartition(max(1, min(width, 10_000)), "node", "source")
+        spread = rows.repartition("node", "source")
         return stash(spread.sortWithinPartitions("node", "source", F.desc("size"), "k1", "k2").mapInArrow(_pivot(seed), UNIT))
 
-    level = paired(start, buckets)
+    level = paired(start)
     settled = [level.filter(F.col("frac").isNull())]
     width = buckets
     while width > 1:
         width = -(-width // FAN)
-        level = paired(level.filter(F.col("frac").isNotNull()).withColumn("node", F.floor(F.col("node") / FAN).cast("long")), width)
+        level = paired(level.filter(F.col("frac").isNotNull()).withColumn("node", F.floor(F.col("node") / FAN).cast("long")))
         settled.append(level.filter(F.col("frac").isNull()))
     draw = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     settled.append(level.filter(F.col("frac").isNotNull()).withColumn("copies", F.col("copies") + (draw < F.col("frac")).cast("long")))
