@@ -6,7 +6,7 @@ copies are paired, and words are moved from one to the other, in a random
 direction that keeps both expectations, until one of them has a whole number.
 The words a source takes stay the same in every such step. Each bucket of a
 source ends with one fractional document; those meet in a reduction tree, and
-only the last one of a source is rounded by itself.
+only the last one of a source is rounded by itself, to the nearest number.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def copy_counts(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: fl
     `share` of all words; a target stops at `most` times its source's words.
     Returns k1, k2 (the row's key), doc_id, source, size (words), source_size,
     target and copies. Rows without words take no part in the rounding. Per
-    source, the words taken differ from the target by less than one document.
+    source, the words taken differ from the target by half a document at most.
     The result depends on the rows and the seed alone. Null sources form a
     source of their own; an empty table gives no rows.
     """
@@ -154,8 +154,8 @@ def copy_counts(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: fl
         width = -(-width // FAN)
         level = paired(level.filter(F.col("frac").isNotNull()).withColumn("node", F.floor(F.col("node") / FAN).cast("long")))
         settled.append(level.filter(F.col("frac").isNull()))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    settled.append(level.filter(F.col("frac").isNotNull()).withColumn("copies", F.col("copies") + (draw < F.col("frac")).cast("long")))
+    nearest = (F.col("frac") >= 0.5).cast("long")
+    settled.append(level.filter(F.col("frac").isNotNull()).withColumn("copies", F.col("copies") + nearest))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
