@@ -38,18 +38,18 @@ def gram_counts(text: str | None, longest: int = 3) -> tuple[np.ndarray, np.ndar
     letter = known[np.minimum(points, len(known) - 1)] | (points >= len(known))
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = np.zeros(len(points) + 2, dtype=np.int64)
-    padded[1:-1] = np.where(letter, points + 1, 0)
-    blank = padded == 0
+    padded = np.ones(len(points) + 2, dtype=np.int64)  # 1 is the blank
+    padded[1:-1] = np.where(letter, points + 2, 1)
+    blank = padded == 1
     keep = ~(blank[1:] & blank[:-1])  # one blank between words
     padded = padded[np.concatenate(([True], keep))]
-    parts, code = [padded[padded > 0]], padded
+    parts, code = [padded[padded > 1]], padded
     for n in range(2, longest + 1):
         code = (code[:-1] << 21) | padded[n - 1:]
         # A blank stands only first or last.
         good = np.ones(len(code), dtype=bool)
         for k in range(1, n - 1):
-            good &= padded[k:len(padded) - n + 1 + k] > 0
+            good &= padded[k:len(padded) - n + 1 + k] > 1
         parts.append(code[good])
     codes = np.sort(np.concatenate(parts))
     new = np.concatenate(([True], codes[1:] != codes[:-1]))

@@ -223,7 +223,7 @@ def test_mix_comes_near_its_targets_and_repeats(docs, odd_rows, monkeypatch):
         taken[r.source] += r.copies * r["size"]
         largest[r.source] = max(largest[r.source], r["size"])
     for s in order:
-        assert abs(taken[s] - targets[s]) <= largest[s]
+        assert abs(taken[s] - targets[s]) <= largest[s] / 2 + 1e-6
     again = mixing.copy_counts(frame.repartition(7)).collect()
     assert Counter((r.k1, r.k2, r.copies) for r in again) == Counter((r.k1, r.k2, r.copies) for r in got)
 
