@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hangarlog.reference_data import DISCOVERY_PHASES, MAINTENANCE_PHASES, STOPWORDS, SYSTEMS
+from hangarlog.plans import sizing
 from hangarlog.session import SETTINGS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,7 @@ RARE = 20
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
         def prepared(spark: SparkSession, folder: str) -> DataFrame:
+            sizing.release()  # what the query before has kept
             chosen = spark.conf.getAll  # what the caller has set stands
             for key, value in SETTINGS.items():
                 if key.startswith("spark.sql.") and key not in chosen:

@@ -216,7 +216,7 @@ def first_disagreements(old: DataFrame, new: DataFrame, texts: DataFrame, n: int
                         key: str = "record_id") -> DataFrame:
     """The first n disagreements by key, with the start of their text."""
     first = disagreements(old, new, key).orderBy(key).limit(n)
-    return texts.join(F.broadcast(first), key).select(first["*"], snippet(texts["text"], width).alias("snippet"))
+    return texts.join(first, key).select(first["*"], snippet(texts["text"], width).alias("snippet"))
 
 
 def compare_predictions(old: DataFrame, new: DataFrame, key: str = "record_id") -> DataFrame:
