@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from hangarlog.llm.frames import free_name, stash
+from hangarlog.llm.frames import free_name, join_groups, stash
 
 #: Runs merged by a node in one round; a power of two.
 FAN_BITS = 4
-#: A text with more than this share of all rows is joined apart; there are fewer than 1 / share of them.
-HOT_SHARE = 1 / 1000
 
 RUN = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("sha", T.BinaryType()),
@@ -100,10 +98,7 @@ def find_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", nod
     prints = stash(fingerprints(docs, text, id_col))
     groups = stash(tree_merge(prints, nodes))
     rows = prints.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("group_size") > F.lit(rows * HOT_SHARE)
-    few = F.broadcast(groups.filter(hot))  # fewer than 1 / HOT_SHARE rows
-    joined = prints.join(few, KEY).unionByName(
-        prints.join(F.broadcast(groups.filter(hot).select(*KEY)), KEY, "left_anti").join(groups.filter(~hot), KEY))
+    joined = join_groups(prints, groups, KEY, "group_size", rows)
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(
         "id", *KEY, "keep_id", "group_size", F.col("copy").cast("long").alias("copy"),
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"))

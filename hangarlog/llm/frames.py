@@ -45,6 +45,18 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*columns), F.xxhash64(F.lit(20261), *columns)]
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: float = 1 / 1000) -> DataFrame:
+    """Inner join of rows with one row for each group, where `size` says how many rows a group has.
+
+    Groups of more than `share` of all rows are fewer than 1 / share; they are
+    broadcast, so their rows stay where they are. The others are shuffled.
+    """
+    hot = F.col(size) > F.lit(total * share)
+    few = groups.filter(hot)
+    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(few), keys).unionByName(cold.join(groups.filter(~hot), keys))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """The wanted column name, with underscores until no column has it."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from hangarlog.llm.components import connected_components
-from hangarlog.llm.frames import free_name, record, row_key, sorted_groups, stash
+from hangarlog.llm.frames import free_name, join_groups, record, row_key, sorted_groups, stash
 from hangarlog.llm.textbytes import shingle_sets, slices
 
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with probability 3e-6
@@ -215,16 +215,16 @@ def _links(threshold: float):
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = TOLERANCE,
                  text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: k1, k2 (its key), doc_id, class_id, copies_id, n_links.
+    """One row for each row of docs: k1, k2 (its key), doc_id, group_key, class_id, copies_id, n_links.
 
     copies_id is the smallest identifier of the rows with the same n-gram set,
     class_id the smallest one that can be reached over links of similarity
     threshold or more, n_links the number of other rows so similar. Words are
     split at ASCII white space, case and marks count. A text of fewer words
     than an n-gram has is one n-gram; texts without words (null ones too) are
-    copies of each other and like nothing else. Null identifiers order first
-    as a class name of their own: a class's name is then null only if all its
-    identifiers are.
+    copies of each other and like nothing else. A class's name is null only if
+    all its identifiers are; where identifiers repeat or are null, group_key
+    still tells classes apart.
     """
     k1, k2 = row_key(docs)
     source = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -233,7 +233,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     # A class: equal sets. It is named by a hash in the work below and by an identifier in the result.
     named = prints.withColumn("class", F.xxhash64("c1", "c2", "n"))
     classes = stash(named.groupBy("class").agg(
-        F.count("*").alias("size"), F.min("doc_id").alias("copies_id"), F.first("sig").alias("sig"), F.max("n").alias("n")))
+        F.count("*").alias("size"), F.min("doc_id").alias("copies_id"), F.first("sig").alias("sig"), F.max("n").alias("n"),
+        F.min(F.struct("k1", "k2")).alias("one")))  # a row to read the set from
 
     value = lambda t: F.substring("sig", F.lit(4 * ROWS * t + 1), F.lit(4 * ROWS))
     bands = classes.filter("n > 0").select("class", "n", F.posexplode(F.array(*(F.xxhash64(value(t)) for t in range(BANDS)))).alias("band", "key"))
@@ -251,8 +252,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
 
     # The sets of the classes that are left, once for each cell they are in.
     used = pairs.filter("left is null").select(*cell, F.explode("right").alias("class"))
-    wanted = used.select("class").distinct()
-    one = named.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("k")).select("class", "k.*")
+    one = classes.join(used.select("class").distinct(), "class").select("class", "one.*")
     sets = source.join(one, ["k1", "k2"]).select("class", "text").mapInArrow(_sets(words), "class long, set binary")
     loaded = used.join(sets, "class").join(classes.select("class", "size"), "class").select(*cell, "class", "size", "set", F.lit(None).cast("array<long>").alias("right"))
     lists = pairs.filter("left is not null").select(*cell, F.col("left").alias("class"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("set"), "right")
@@ -264,10 +264,11 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
     named_roots = stash(classes.select("class", "size", "copies_id").join(near, "class", "left")
                         .withColumn("root", F.coalesce("root", "class")))
     smallest = named_roots.groupBy("root").agg(F.min("copies_id").alias("class_id"))
-    full_classes = named_roots.join(smallest, "root").select(
-        "class", "copies_id", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return named.select("class", "k1", "k2", "doc_id").join(full_classes, "class").select(
-        "k1", "k2", "doc_id", "class_id", "copies_id", "n_links")
+    full_classes = stash(named_roots.join(smallest, "root").select(
+        "class", "size", "copies_id", "class_id", F.col("root").alias("group_key"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    rows = full_classes.agg(F.sum("size")).first()[0] or 0
+    return join_groups(named.select("class", "k1", "k2", "doc_id"), full_classes, ["class"], "size", rows).select(
+        "k1", "k2", "doc_id", "group_key", "class_id", "copies_id", "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -275,7 +276,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     names = [free_name(docs, n) for n in ("_near_k1", "_near_k2")]
     k1, k2 = row_key(docs)
     found = stash(near_classes(docs, **options))
-    keep = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("k"))
+    keep = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("k"))
     keyed = docs.withColumns(dict(zip(names, (k1, k2))))
     stays = keyed.join(keep.select(F.col("k.k1").alias(names[0]), F.col("k.k2").alias(names[1])), names, "left_semi")
     repeated = found.groupBy("k1", "k2").count().filter("count > 1").select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]))
