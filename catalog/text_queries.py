@@ -156,7 +156,9 @@ def _(spark, d):
     return known.select("code", label.alias("label"), labels.code_of_label(label).alias("code_again"))
 
 
-@query("f20_struct_to_json")
+@query("f20_struct_to_json", sql("records", """
+    SELECT record_id, concat('{', chr(10), '  "code" : "', code, '",', chr(10), '  "base" : ', CASE WHEN base IS NULL THEN 'null' ELSE concat('"', base, '"') END, ',', chr(10),
+           '  "labor_hours" : ', cast(cast(labor_hours as double) as string), chr(10), '}') AS document FROM records"""))
 def _(spark, d):
     recs = star.records(spark, d)
     return recs.select("record_id", labels.as_json(F.struct("code", "base", "labor_hours")).alias("document"))
