@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import functions as F
 
 from catalog.base import AS_OF, PHRASE, query, sql
@@ -246,8 +248,58 @@ def _(spark, d):
         {c: F.col(c).cast("string") for c in ("start_date", "end_date")})
 
 
+def parsed_sql(texts: str) -> dict[str, str]:
+    """CTEs up to parsed(conv_id, turn, asset_id, code, start_date, end_date) from texts(conv_id, turn, q)."""
+    full = ", ".join(f"'{calendar.month_name[m].lower()}'" for m in range(1, 13))
+    short = ", ".join(f"'{calendar.month_abbr[m].lower()}'" for m in range(1, 13))
+    month = lambda w: f"CASE WHEN {w} IN ({full}, {short}) THEN list_position([{short}], left({w}, 3)) END"
+    group = lambda pattern, n: f"nullif(regexp_extract(r, '{pattern}', {n}), '')"
+    y = r"(20\d{2})"
+    month_range = rf"from\s+([a-z]+)\.?\s+{y}\s+to\s+([a-z]+)\.?\s+{y}"
+    season = rf"(since|after|from|in|during)?\s*(spring|summer|fall|autumn|winter)\s+(of\s+)?{y}"
+    since, single = rf"(since|after|from)\s+(?:([a-z]+)\.?\s+)?{y}", rf"\b([a-z]+)\.?\s+{y}\b"
+    fields = {
+        "m1": month(group(month_range, 1)), "y1": group(month_range, 2), "m2": month(group(month_range, 3)), "y2": group(month_range, 4),
+        "ra": group(rf"from\s*{y}\s*to\s*{y}", 1), "rb": group(rf"from\s*{y}\s*to\s*{y}", 2),
+        "pa": group(rf"between\s*{y}\s*and\s*{y}", 1), "pb": group(rf"between\s*{y}\s*and\s*{y}", 2),
+        "lead": group(season, 1), "sea": group(season, 2), "sy": group(season, 4), "wm": month(group(since, 2)), "wy": group(since, 3),
+        "om": month(group(single, 1)), "oy": group(single, 2), "yy": group(rf"\b(?:in\s+)?{y}\b", 1),
+        "lm": group(r"last\s*(\d+)\s*month", 1), "ly": group(r"last\s*(\d+)\s*year", 1),
+        "named": group(r"\bwuc[:#\s]*([0-9a-z]{4,6})\b", 1),
+        "bare": r"list_filter(regexp_extract_all(r, '\b[0-9a-z]{5}\b'), lambda t: regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '^20\d{2}\w?$'))[1]",
+    }
+    first = "CASE sea WHEN 'spring' THEN 3 WHEN 'summer' THEN 6 WHEN 'winter' THEN 12 ELSE 9 END"
+    last = "CASE sea WHEN 'spring' THEN 5 WHEN 'summer' THEN 8 WHEN 'winter' THEN 2 ELSE 11 END"
+    day = lambda yr, m, d=1: f"make_date({yr}::int, ({m})::int, {d})"
+    asof, winter_year = f"date '{AS_OF}'", "(sy::int + (sea = 'winter')::int)"
+    back = lambda n, days: f"{asof} - least({n}::double * {days}, date_diff('day', date '0001-01-01', {asof}))::int"
+    rows = [
+        ("m1 IS NOT NULL AND m2 IS NOT NULL", day("y1", "m1"), f"last_day({day('y2', 'm2')})"), ("ra IS NOT NULL", day("ra", 1), day("rb", 12, 31)),
+        ("pa IS NOT NULL", day("least(pa, pb)", 1), day("greatest(pa, pb)", 12, 31)),
+        ("sy IS NOT NULL", day("sy", first), f"CASE WHEN lead IS NULL OR lead IN ('in', 'during') THEN last_day({day(winter_year, last)}) END"),
+        ("wy IS NOT NULL", day("wy", "coalesce(wm, 1)"), "NULL"), ("om IS NOT NULL", day("oy", "om"), f"last_day({day('oy', 'om')})"),
+        ("ly IS NOT NULL", back("ly", 365), asof), ("lm IS NOT NULL", back("lm", 30), asof),
+        (r"regexp_matches(r, '\bthis year\b')", day(f"year({asof})", 1), day(f"year({asof})", 12, 31)),
+        (r"regexp_matches(r, '\blast year\b')", day(f"(year({asof}) - 1)", 1), day(f"(year({asof}) - 1)", 12, 31)),
+        ("yy IS NOT NULL", day("yy", 1), day("yy", 12, 31)),
+    ]
+    case = lambda i: "CASE " + " ".join(f"WHEN {r[0]} THEN {r[i]}" for r in rows) + " END"
+    return {
+        "blanked": rf"SELECT *, nullif(regexp_extract(q, '\b\d{{2}}-\d{{4}}\b'), '') AS asset_id, regexp_replace(q, '\b\d{{2}}-\d{{4}}\b', ' ', 'g') AS r FROM {texts}",
+        "read_out": "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in fields.items()) + " FROM blanked",
+        "parsed": f"SELECT conv_id, turn, asset_id, upper(CASE WHEN regexp_matches(named, '[0-9]') THEN named ELSE bare END) AS code, "
+                  f"({case(1)})::date AS start_date, ({case(2)})::date AS end_date FROM read_out",
+    }
+
+
 # Questions written by people, most of which ask for nothing.
-@query("q12_filters_in_conversations")
+@query("q12_filters_in_conversations", sql("", """
+    SELECT conv_id, turn, asset_id, code, cast(start_date as string) AS start_date, cast(end_date as string) AS end_date,
+           concat_ws(' · ', CASE WHEN asset_id IS NOT NULL THEN concat('Tail = **', asset_id, '**') END,
+                     CASE WHEN code IS NOT NULL THEN concat('WUC = **', code, '**') END,
+                     CASE WHEN start_date IS NOT NULL OR end_date IS NOT NULL THEN concat('dates **',
+                       coalesce(strftime(start_date, '%b %Y'), 'earliest'), ' → ', coalesce(strftime(end_date, '%b %Y'), 'latest'), '**') END) AS applied
+    FROM parsed""", texts="SELECT conv_id, turn, lower(text) AS q FROM conversations", **parsed_sql("texts")))
 def _(spark, d):
     turns = star.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
     found = questions.describe_filters(questions.extract_filters(turns, AS_OF))
