@@ -15,21 +15,23 @@ not be compared. Leaves are searched in blocks of bounded size.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hangarlog.llm.frames import record, stash
 
 SAMPLE_VECTORS, SAMPLE_BYTES = 20_000, 64 << 20
-BRANCHES, LEAF_SAMPLE = 8, 24
+BRANCHES, LEAF_SAMPLE = 8, 64
 CALIBRATION_QUERIES = 256
 TARGET_RECALL = 0.97
-#: Leaves visited before the others are searched for better ones only.
-FIRST_LEAVES = 6
-BLOCK_ROWS = 4096
+#: Share of the leaves that is visited before the others are searched for better ones only.
+FIRST_SHARE = 1 / 8
+BLOCK_ROWS, QUERY_ROWS = 4096, 256
 #: Weight of a node's radius in what its vectors can be expected to reach.
 SPREAD = 0.5
 
@@ -132,6 +134,22 @@ def best_rows(x: np.ndarray, ids: np.ndarray, q: np.ndarray, most: int, floor: f
     return at[keep], exact[keep]
 
 
+def block_rows(x: np.ndarray, q: np.ndarray, most: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, row) that can be among a query's `most` best, with their products.
+
+    Where a query has no floor yet, its `most` best of the block and their ties
+    are returned, else all rows from the floor up.
+    """
+    rough = q @ x.T
+    slack = 1e-9 * (1.0 + np.abs(rough).max(initial=0.0))
+    bound = floors.copy()
+    fresh = np.isneginf(bound)
+    if len(x) > most and fresh.any():
+        bound[fresh] = np.partition(rough[fresh], len(x) - most, axis=1)[:, len(x) - most]
+    query, at = np.nonzero(rough >= bound[:, None] - slack)
+    return query, at, np.concatenate([(x[at[i:i + 65536]] * q[query[i:i + 65536]]).sum(axis=1) for i in range(0, max(len(at), 1), 65536)])
+
+
 def usable(vector: Column, dim: int) -> Column:
     """Neither null nor zero, of the common length, all components finite."""
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -154,7 +172,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = T
     dim = shape["d"] if shape else 0
     rows = stash(vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector), dim)).select(
         F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"),
-        F.col(vector).cast("array<double>").alias("v"), F.xxhash64(vector).alias("v1"), F.xxhash64(F.lit(5), vector).alias("v2")
+        F.col(vector).alias("v"), F.xxhash64(vector).alias("v1"), F.xxhash64(F.lit(5), vector).alias("v2")
     ).dropDuplicates(["vec_id", "v1", "v2"]))
     # One row more than k for a vector, since a query leaves itself out.
     first = Window.partitionBy("v1", "v2").orderBy("vec_id")
@@ -168,13 +186,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = T
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = KMeansTree(sample)
+    kind = dict(rows.dtypes)["v"]  # as stored: single precision stays half the size until it is multiplied
+    number = pa.float32() if kind == "array<float>" else pa.float64()
 
     def leaves(batches):
-        schema = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("leaf", pa.int64())])
+        schema = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(number)), ("leaf", pa.int64())])
         for batch in batches:
             yield record(schema, [batch.column("vec_id"), batch.column("v"), tree.assign(_matrix(batch.column("v")))])
 
-    placed = stash(candidates.select("vec_id", "v").mapInArrow(leaves, "vec_id long, v array<double>, leaf long"))
+    placed = stash(candidates.select("vec_id", "v").mapInArrow(leaves, f"vec_id long, v {kind}, leaf long"))
     visits = _calibrated(placed, draw(asking, CALIBRATION_QUERIES).collect(), tree, k, recall)
 
     # One row a leaf; the tree's sample bounds their number.
@@ -183,7 +203,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = T
         "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v"))
 
     def walk(batches):
-        schema = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), ("v", pa.list_(pa.float64())), ("leaf", pa.int64()), ("turn", pa.int32())])
+        schema = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), ("v", pa.list_(number)), ("leaf", pa.int64()), ("turn", pa.int32())])
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
@@ -192,7 +212,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = T
                 yield record(schema, [*(batch.column(c).take(at) for c in ("v1", "v2", "v")),
                                       np.concatenate(paths), np.concatenate([np.arange(len(p)) for p in paths])])
 
-    paths = stash(asking.select("v1", "v2", "v").mapInArrow(walk, "v1 long, v2 long, v array<double>, leaf long, turn int"))
+    paths = stash(asking.select("v1", "v2", "v").mapInArrow(walk, f"v1 long, v2 long, v {kind}, leaf long, turn int"))
+    early_leaves = max(1, math.ceil(visits * FIRST_SHARE))
     top = Window.partitionBy("v1", "v2").orderBy(F.desc("score"), "vec_id")
 
     def searched(wanted: DataFrame) -> DataFrame:
@@ -204,10 +225,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = T
         return (stored.unionByName(asked).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind", "v1", "v2")
                 .mapInArrow(_search(k + 1), "v1 long, v2 long, vec_id long, score double"))
 
-    early = stash(searched(paths.filter(F.col("turn") < FIRST_LEAVES).withColumn("floor", F.lit(None).cast("double")))
+    early = stash(searched(paths.filter(F.col("turn") < early_leaves).withColumn("floor", F.lit(None).cast("double")))
                   .withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k + 1))
     floors = early.filter(F.col("place") == k + 1).select("v1", "v2", F.col("score").alias("floor"))
-    later = searched(paths.filter(F.col("turn") >= FIRST_LEAVES).join(floors, ["v1", "v2"], "left"))
+    later = searched(paths.filter(F.col("turn") >= early_leaves).join(floors, ["v1", "v2"], "left"))
     found = (early.drop("place").unionByName(later).withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k + 1).drop("place"))
     answers = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "v1", "v2").join(found, ["v1", "v2"]).filter("vec_id <> query_id")
     mine = Window.partitionBy("query_id", "v1", "v2").orderBy(F.desc("score"), "vec_id")
@@ -240,11 +261,12 @@ def _search(most: int):
                 if held is None:
                     continue
                 x, ids = held
-                floors = rows.column("floor").to_pylist()
-                for a, b, q, floor in zip(rows.column("v1").to_pylist(), rows.column("v2").to_pylist(), _matrix(rows.column("v")), floors):
-                    at, score = best_rows(x, ids, q, most, -np.inf if floor is None else floor)
-                    if len(at):
-                        out.append((np.full(len(at), a), np.full(len(at), b), ids[at], score))
+                q, v1, v2 = _matrix(rows.column("v")), rows.column("v1").to_numpy(), rows.column("v2").to_numpy()
+                floors = pc.fill_null(rows.column("floor"), -np.inf).to_numpy()
+                for a in range(0, len(q), QUERY_ROWS):
+                    part = slice(a, a + QUERY_ROWS)
+                    query, at, score = block_rows(x, q[part], most, floors[part])
+                    out.append((v1[part][query], v2[part][query], ids[at], score))
             if out:
                 yield record(schema, [np.concatenate(c) for c in zip(*out)])
     return run
