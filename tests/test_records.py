@@ -88,7 +88,7 @@ def test_csv_to_clean_records(spark, tmp_path):
     path.write_text(
         'Corrected WUC,Tail Number,Base,Start Date,Discrepancy,Labor,Extra\n'
         ' 11aaa ,57-0001,SCOTT,20240115,"leak,\nat ""pump"".",2.5,z\n12BBB,57-0002,,20240116,ok,bad,z\n')
-    got = clean.clean_records(readers.load_records(spark, str(path))).orderBy("code").collect()
+    got = clean.clean_records(readers.load_records(spark, str(path), multiline=True)).orderBy("code").collect()
     assert [(r.code, r.start_date, r.labor_hours) for r in got] == [
         ("11AAA", dt.date(2024, 1, 15), 2.5), ("12BBB", dt.date(2024, 1, 16), None)]
     assert got[0].discrepancy_normalized == 'LEAK, AT "PUMP"'
