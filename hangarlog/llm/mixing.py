@@ -14,12 +14,11 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from hangarlog.llm.frames import free_name, row_key, sorted_groups, stash
+from hangarlog.llm.frames import free_name, row_key, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a bucket, over all sources; a bucket's part of a source is rounded by one task.
