@@ -31,11 +31,20 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def gram_counts(text: str | None, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a text's n-grams, ascending, and their counts."""
+def _points(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a text in lower case, and which are letters."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     known = _letters()
-    letter = known[np.minimum(points, len(known) - 1)] | (points >= len(known))
+    return points, known[np.minimum(points, len(known) - 1)] | (points >= len(known))
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(_points(text)[1].any())
+
+
+def gram_counts(text: str | None, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a text's n-grams, ascending, and their counts."""
+    points, letter = _points(text)
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = np.ones(len(points) + 2, dtype=np.int64)  # 1 is the blank
@@ -139,25 +148,35 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", id_c
     return Profiles(ranked)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the predicted language and its score (0 to 1) to each row, from the whole text.
-
-    A text that is null or has no letter gets `und` and 0. Ties go to the
-    language whose name comes first. Column names already taken get an
-    underscore at the end.
-    """
-    @F.pandas_udf("lang string, score double")
+def _judged(docs: DataFrame, profiles: Profiles, text: str, made: str) -> DataFrame:
+    """Add a struct: the predicted language, its score, and whether the text has a letter."""
+    @F.pandas_udf("lang string, score double, lettered boolean")
     def predict(values):
         import pandas as pd
 
-        return pd.DataFrame([profiles.predict(v) for v in values], columns=["lang", "score"])
+        found = [profiles.predict(v) for v in values]
+        return pd.DataFrame([(*x, x[0] != UNKNOWN or has_letter(v)) for x, v in zip(found, values)], columns=["lang", "score", "lettered"])
+
+    return docs.withColumn(made, predict(F.col(text)))
+
+
+def identify(docs: DataFrame, profiles: Profiles, text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the predicted language and its score (0 to 1) to each row, from the whole text.
 
+    A text that is null or has no letter gets `und` and 0; so does every text
+    where no language was learned. Ties go to the language whose name comes
+    first. Column names already taken get an underscore at the end.
+    """
     made = free_name(docs, "_language")
-    out = docs.withColumn(made, predict(F.col(text)))
+    out = _judged(docs, profiles, text, made)
     return out.withColumns({free_name(docs, prediction): F.col(made)["lang"], free_name(docs, score): F.col(made)["score"]}).drop(made)
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """The rows whose text has a language; null texts and texts without letters go."""
-    verdict = free_name(docs, "lang_pred")
-    return identify(docs, profiles, text).filter(F.col(verdict) != UNKNOWN).select(*docs.columns)
+    """The rows whose text can have a language; null texts and texts without letters go, and no others.
+
+    Where no language was learned, or one is itself named `und`, texts with
+    letters stay.
+    """
+    made = free_name(docs, "_language")
+    return _judged(docs, profiles, text, made).filter(F.col(made)["lettered"]).select(*docs.columns)

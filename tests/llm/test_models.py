@@ -88,6 +88,19 @@ def test_language_of_odd_rows(docs, odd_rows):
     assert {r.lang_pred for r in language_id.identify(frame, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("label", [None, "held out only", "und"])
+def test_texts_with_letters_stay_where_no_language_is_learned(docs, odd_rows, label):
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows = [(*r[:2], label if label == "und" else None, *r[3:]) for r in odd_rows]
+    if label == "held out only":
+        rows.append(doc(held, "labelled, but in the held-out quarter", lang="xx"))
+    frame = docs(rows)
+    assert language_id.learn_profiles(frame).languages == (["und"] if label == "und" else [])
+    lettered = Counter(r[:2] for r in rows if any(c.isalpha() for c in r[1] or ""))
+    out = dict(corpus_pipeline.STAGES)["language_id"](frame.sparkSession, frame, FOLDER)
+    assert out.columns == frame.columns and Counter((r.doc_id, r.text) for r in out.collect()) == lettered
+
+
 def test_gram_counts_and_distance_against_python():
     def brute(text):
         grams, words = Counter(), "".join(c if c.isalpha() else " " for c in text.lower()).split()
