@@ -17,7 +17,7 @@ from hangarlog.functions.arrays import entry
 from hangarlog.functions.labels import confidence_band
 from hangarlog.functions.text import subsystem_of, system_of
 from hangarlog.operators.evaluate import macro_f1, wide_predictions
-from hangarlog.plans.sizing import join_small
+from hangarlog.plans.sizing import join_small, keep
 from hangarlog.reference_data import UNKNOWN_DEFINITION, UNKNOWN_SYSTEM
 
 LEVELS = {"system": system_of, "subsystem": subsystem_of, "code": F.col}
@@ -81,27 +81,51 @@ def train_classifier(df: DataFrame, label: str, text: str = "text", level: str =
     return fit_counts(token_counts(rows, "target"), label_counts(rows, "target"), "target", weighted, smoothing)
 
 
+def _bare_score() -> Column:
+    """What a label scores for a text that shares no token with it."""
+    return F.round(F.col("prior") + F.col("known") * F.col("absent"), SCORE_DECIMALS)
+
+
+def _leaders(labels: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """For each number of known tokens the k labels with the best bare scores, that of the best, and the whole of all as shares of it."""
+    number = Window.partitionBy("known")
+    scored = labels.crossJoin(F.broadcast(known)).select("known", "target", _bare_score().alias("bare"))
+    return scored.withColumns({
+        "lead": F.max("bare").over(number), "place": F.row_number().over(number.orderBy(F.desc("bare"), "target")),
+    }).withColumn("whole", F.sum(F.exp(F.col("bare") - F.col("lead"))).over(number)).where(F.col("place") <= k)
+
+
 def predict_topk(model: CountModel, df: DataFrame, k: int = 3, text: str = "text") -> DataFrame:
     """Add preds: array<struct<code, confidence>> of the k likeliest labels, in percent.
 
-    Each distinct text is scored once. Its tokens are joined to the weights, so
-    only labels that share a token with it are compared; confidences are shares
-    among these. A text that shares none gets no prediction. Ties go to the
-    smaller label.
+    Each distinct text is scored once, against all labels. Tokens are joined to
+    the weights; a label that shares none scores prior + known * absent, which
+    depends only on the number of known tokens, so it is worked out once for
+    each such number. As gains are never negative, of the labels that share no
+    token only the k leaders by that score can be among the k likeliest; the
+    others count in the total. A text without a known token is judged by the
+    priors, a null text gets no prediction. Ties go to the smaller label.
     """
     keys = {"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(17), text)}
     keyed = df.withColumns(keys)
     once = df.where(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("_text")).dropDuplicates(list(keys))
     tokens = once.select(*keys, F.explode(text_tokens("_text")).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    known = tokens.join(model.weights.select("token").distinct(), "token", "left_semi").groupBy(*keys).agg(F.sum("tf").alias("known"))
-    gains = tokens.join(model.weights, "token").groupBy(*keys, "target").agg(F.sum(F.col("tf") * F.col("gain")).alias("gained"))
-    scored = join_small(gains, model.labels, ["target"]).join(known, list(keys)).withColumn(
-        "score", F.round(F.col("prior") + F.col("known") * F.col("absent") + F.col("gained"), SCORE_DECIMALS))
+    found = tokens.join(model.weights.select("token").distinct(), "token", "left_semi").select(*keys, F.col("tf").alias("known"))
+    known = keep(found.unionByName(once.select(*keys, F.lit(0).cast("bigint").alias("known"))).groupBy(*keys).agg(F.sum("known").alias("known")))
+    leaders = keep(_leaders(model.labels, known.select("known").distinct(), k))
+    hits = tokens.join(model.weights, "token").select(*keys, "target", (F.col("tf") * F.col("gain")).alias("gained"))
+    ahead = join_small(known, leaders.select("known", "target"), ["known"]).select(*keys, "target", F.lit(0.0).alias("gained"))
+    gains = hits.unionByName(ahead).groupBy(*keys, "target").agg(F.sum("gained").alias("gained"))
+    totals = leaders.where(F.col("place") == 1).select("known", "lead", "whole")
+    scored = join_small(join_small(gains, model.labels, ["target"]).join(known, list(keys)), totals, ["known"]).withColumns({
+        "bare": _bare_score(), "score": F.round(F.col("prior") + F.col("known") * F.col("absent") + F.col("gained"), SCORE_DECIMALS)})
     text_of = Window.partitionBy(*keys)
-    share = F.exp(F.col("score") - F.max("score").over(text_of))
+    top = F.max("score").over(text_of)
+    # What the labels without a row here hold: the whole less the bare shares of those with one.
+    rest = F.greatest(F.col("whole") - F.sum(F.exp(F.col("bare") - F.col("lead"))).over(text_of), F.lit(0.0)) * F.exp(F.col("lead") - top)
     best = (
-        scored.withColumn("share", share).withColumns({
-            "confidence": 100.0 * F.col("share") / F.sum("share").over(text_of),
+        scored.withColumns({"share": F.exp(F.col("score") - top), "rest": rest}).withColumns({
+            "confidence": 100.0 * F.col("share") / (F.sum("share").over(text_of) + F.col("rest")),
             "rank": F.row_number().over(text_of.orderBy(F.desc("score"), "target")),
         })
         .where(F.col("rank") <= k)

@@ -150,6 +150,31 @@ def test_naive_bayes_matches_its_definition(spark):
     assert got["unheard of"] is None and got[None] is None and got[""] is None
 
 
+@pytest.mark.parametrize("weighted", [True, False])
+def test_topk_ranks_all_labels(spark, weighted):
+    """A label that holds a token once among very many loses to labels that never hold it."""
+    rows = [("hot", " ".join(["pump"] * 3000 + ["seal"])), ("b", "radio"), ("c", "valve valve"), ("d", "wing"), ("e", "tyre tyre radio")]
+    rows += [("hot", "pump pump")] * 2 + [(None, "ignored")]
+    df = spark.createDataFrame(rows, "label string, text string")
+    model = classify.train_classifier(df, "label", weighted=weighted)
+    asked = ["seal", "seal seal radio", "pump", "never heard of", "", "  ", " ".join(["radio"] * 900), None]
+    counts = {c: Counter(w for l, t in rows if l == c for w in t.split()) for c in ("hot", "b", "c", "d", "e")}
+    size = len(set().union(*counts.values()))
+    prior = {c: 1 / len(counts) if weighted else sum(l == c for l, _ in rows) / 7 for c in counts}
+    for k in (1, 3, 9):
+        out = classify.predict_topk(model, spark.createDataFrame([(t,) for t in asked], "text string"), k)
+        got = {r.text: r.preds for r in out.collect()}
+        assert got[None] is None
+        for text in asked[:-1]:
+            words = [w for w in text.split() if any(w in n for n in counts.values())]
+            score = {c: round(math.log(prior[c]) + sum(math.log((n[w] + 1) / (sum(n.values()) + size)) for w in words), 8) for c, n in counts.items()}
+            shares = {c: math.exp(s - max(score.values())) for c, s in score.items()}
+            best = sorted(score, key=lambda c: (-score[c], c))[:k]
+            assert [p.code for p in got[text]] == best, text
+            assert [p.confidence for p in got[text]] == [pytest.approx(100 * shares[c] / sum(shares.values()), rel=1e-6) for c in best]
+    assert [p.code for p in got["seal"]][-1] == "hot"
+
+
 def test_continued_training_equals_training_on_all(spark):
     a = spark.createDataFrame([("x", "one two"), ("y", "two three")], "label string, text string")
     b = spark.createDataFrame([("x", "three three"), ("z", "four")], "label string, text string")
