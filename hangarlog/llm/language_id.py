@@ -12,13 +12,14 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from hangarlog.llm.frames import free_name
 
 PROFILE, TEXT_GRAMS = 400, 300
-#: Labelled texts that a profile is learned from, and their bytes: the texts with the smallest hash.
+#: Labelled texts that a profile is learned from, and their bytes: texts are taken by their hash until one of both is reached.
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 32 << 20
+DRAW_BITS = 62
 UNKNOWN = "und"
 _LETTER = np.zeros(0, dtype=bool)
 
@@ -106,25 +107,54 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _by_language(values: Mapping[str, int]) -> Column:
+    """The language's value as a bigint column, null for a language without one."""
+    return F.create_map(*(x for name, v in values.items() for x in (F.lit(name), F.lit(v).cast("bigint"))))[F.col("lang")]
+
+
+def _last_draws(rows: DataFrame, totals: Mapping[str, Row], texts: int, size: int) -> dict[str, int]:
+    """By language the draw of the text that reaches the first bound, or the largest draw.
+
+    Only a range of draws that holds about twice the wanted texts, and the
+    first text at least, is put in order; it is widened for a language where it
+    reaches neither bound.
+    """
+    last: dict[str, int] = {}
+    share = {name: 2 * texts / r["n"] for name, r in totals.items()}
+    while share:
+        upper = {name: max(totals[name]["first"], int(min(x, 1.0) * (1 << DRAW_BITS))) for name, x in share.items()}
+        before = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+        near = rows.filter(F.col("draw") <= _by_language(upper)).groupBy("lang", "draw").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        near = near.withColumns({"n_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "size_before": F.coalesce(F.sum("size").over(before), F.lit(0))})
+        taken = near.filter((F.col("n_before") < texts) & (F.col("size_before") < size))
+        for r in taken.groupBy("lang").agg(F.max("draw").alias("draw"), F.sum("n").alias("n"), F.sum("size").alias("size")).collect():
+            if r["n"] >= texts or r["size"] >= size or r["n"] == totals[r["lang"]]["n"] or share[r["lang"]] >= 1:
+                last[r["lang"]] = r["draw"]
+        share = {name: 16 * x for name, x in share.items() if name not in last}
+    return last
+
+
 def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
                    sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> Profiles:
     """Profiles from labelled texts that are not held out.
 
-    A language's sample is the texts with the smallest hash, up to sample_texts
-    texts and sample_bytes bytes; everything else covers all rows. Spark counts
-    the n-grams of the sample per task; a language's counts meet in one group
-    of at most as many rows as there are tasks.
+    A language's sample is the texts with the smallest hash, taken until there
+    are sample_texts texts or sample_bytes bytes; the text that reaches a bound
+    is the last one, so a language has one text at least. Rows that repeat
+    identifier and text have one hash and are taken together; everything else
+    covers all rows. Spark counts the n-grams of the sample per task; a
+    language's counts meet in one group of at most as many rows as there are
+    tasks.
     """
     value, size = F.col(text), F.octet_length(F.col(text))
     labelled = docs.filter(F.col(lang).isNotNull() & value.isNotNull() & (size > 0) & ~held_out(F.col(id_col)))
-    # A share of the hash range that holds about the wanted number, from counts of all labelled rows.
-    totals = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
-    shares = {r["lang"]: min(1.0, sample_texts / r["n"], sample_bytes / r["bytes"]) for r in totals}
-    if not shares:
+    draw = F.shiftrightunsigned(F.xxhash64(id_col, text), 64 - DRAW_BITS)
+    rows = labelled.select(F.col(lang).alias("lang"), draw.alias("draw"), size.cast("bigint").alias("size"), value.alias("text"))
+    totals = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()}
+    if not totals:
         return Profiles({})
-    share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col(lang)]
-    draw = F.pmod(F.xxhash64(id_col, text), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.filter(draw < share).select(F.col(lang).alias("lang"), value.alias("text"))
+    last = _last_draws(rows, totals, sample_texts, sample_bytes)
+    sample = rows.filter(F.col("draw") <= _by_language(last)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -141,7 +171,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", id_c
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     best = grams.withColumn("place", place).filter(F.col("place") <= PROFILE).orderBy("lang", "place").collect()  # PROFILE rows a language
     ranked = {}
-    for name in shares:
+    for name in totals:
         rows = [r for r in best if r["lang"] == name]
         if rows:
             ranked[name] = top_ranked(np.array([r["code"] for r in rows]), np.array([r["n"] for r in rows]), PROFILE)

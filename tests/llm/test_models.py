@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from hangarlog.llm import ann, language_id, license_scan, quality, queries, url_filter
-from llm_helpers import doc, prose
+from llm_helpers import WORDS, doc, prose
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -101,6 +101,37 @@ def test_texts_with_letters_stay_where_no_language_is_learned(docs, odd_rows, la
     assert out.columns == frame.columns and Counter((r.doc_id, r.text) for r in out.collect()) == lettered
 
 
+def test_every_labelled_language_is_learned_from_its_first_texts(docs):
+    rng = random.Random(8)
+    free = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [doc(free.pop(), prose(rng, 60), lang=f"few{k}") for k in range(12) for _ in range(2)]  # each far beyond the bytes
+    rows += [doc(free.pop(), f"{x} word", lang="many") for x in WORDS for _ in range(20)] + [doc(free.pop(), "copy", lang="copies")] * 300
+    frame = docs(rows)
+    profiles = language_id.learn_profiles(frame, sample_texts=30, sample_bytes=200)
+    assert profiles.languages == sorted({r[2] for r in rows})
+
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - language_id.DRAW_BITS)
+    by_draw = defaultdict(list)
+    for r in sorted(frame.select("lang", draw.alias("draw"), "text").collect()):
+        by_draw[r.lang].append(r)
+    for texts, size in ((30, 200), (30, 10 ** 6), (7, 10 ** 6), (10 ** 4, 10 ** 6)):
+        profiles = language_id.learn_profiles(frame, sample_texts=texts, sample_bytes=size)
+        for lang, rs in by_draw.items():
+            taken, n, held = Counter(), 0, 0
+            for r in rs:
+                if n >= texts or held >= size:
+                    break
+                same = [x for x in rs if x.draw == r.draw]
+                if r is same[0]:
+                    for x in same:
+                        codes, counts = language_id.gram_counts(x.text)
+                        taken.update(dict(zip(codes.tolist(), counts.tolist())))
+                    n, held = n + len(same), held + sum(len(x.text) for x in same)
+            known = profiles.codes[np.isfinite(profiles.ranks[:, profiles.languages.index(lang)])]
+            best = sorted(taken, key=lambda c: (-taken[c], c))[:language_id.PROFILE]
+            assert known.tolist() == sorted(best), (lang, texts, size)
+
+
 def test_gram_counts_and_distance_against_python():
     def brute(text):
         grams, words = Counter(), "".join(c if c.isalpha() else " " for c in text.lower()).split()
