@@ -386,7 +386,7 @@ DOC_SPLITS = """
 
 
 def naive_bayes(name: str, train: str, asked: str, smoothing: float = 1.0) -> dict[str, str]:
-    """CTEs up to {name}(key, label, confidence, rank): train has label and text, asked has key and text."""
+    """CTEs up to {name}(key, label, confidence, rank), all labels ranked: train has label and text, asked has key and text."""
     words = "unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 0)) AS token"
     n = name
     return {
@@ -395,10 +395,11 @@ def naive_bayes(name: str, train: str, asked: str, smoothing: float = 1.0) -> di
             ln({smoothing}::double / (coalesce(tokens, 0) + {smoothing}::double * (SELECT count(DISTINCT token) FROM {n}_tok))) AS absent
             FROM (SELECT DISTINCT label FROM {train} WHERE label IS NOT NULL) l LEFT JOIN (SELECT label, sum(n) AS tokens FROM {n}_tok GROUP BY 1) t USING (label)""",
         f"{n}_ask": f"SELECT text, token, count(*) AS tf FROM (SELECT text, {words} FROM (SELECT DISTINCT text FROM {asked}) d) x GROUP BY 1, 2",
-        f"{n}_known": f"SELECT text, sum(tf) AS known FROM {n}_ask WHERE token IN (SELECT token FROM {n}_tok) GROUP BY 1",
-        f"{n}_score": f"""SELECT text, label, round(prior + known * absent + gained, 8) AS score FROM (
-            SELECT text, label, sum(tf * ln((n + {smoothing}::double) / {smoothing}::double)) AS gained FROM {n}_ask JOIN {n}_tok USING (token) GROUP BY 1, 2) g
-            JOIN {n}_lab USING (label) JOIN {n}_known USING (text)""",
+        f"{n}_known": f"""SELECT d.text, coalesce(sum(tf), 0) AS known FROM (SELECT DISTINCT text FROM {asked} WHERE text IS NOT NULL) d
+            LEFT JOIN (SELECT * FROM {n}_ask WHERE token IN (SELECT token FROM {n}_tok)) a USING (text) GROUP BY 1""",
+        f"{n}_gain": f"SELECT text, label, sum(tf * ln((n + {smoothing}::double) / {smoothing}::double)) AS gained FROM {n}_ask JOIN {n}_tok USING (token) GROUP BY 1, 2",
+        f"{n}_score": f"""SELECT text, label, round(prior + known * absent + coalesce(gained, 0), 8) AS score
+            FROM {n}_known CROSS JOIN {n}_lab LEFT JOIN {n}_gain USING (text, label)""",
         f"{n}_rank": f"""SELECT text, label, 100.0 * exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY text) AS confidence, rank
             FROM (SELECT *, max(score) OVER (PARTITION BY text) AS top, row_number() OVER (PARTITION BY text ORDER BY score DESC, label) AS rank FROM {n}_score) s""",
         n: f"SELECT key, r.label, confidence, rank FROM {asked} a JOIN {n}_rank r USING (text)",

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 
@@ -10,13 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from hangarlog.plans import sizing  # noqa: E402
 from hangarlog.session import build_session  # noqa: E402
-
-SCHEMA = (
-    "record_id string, code string, asset_id string, base string, start_date date, labor_hours double, "
-    "flight_hours double, job_id string, discovered_code string, maint_type_code string, discrepancy string, "
-    "corrective_action string"
-)
-
+from record_helpers import SCHEMA  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
@@ -34,16 +27,6 @@ def _let_go():
     sizing.release()
 
 
-def row(i, code="11AAA", asset="57-0001", base="SCOTT AFB", day="2020-01-15", labor=1.0, hours=10.0, job="j",
-        found="A", kind="B", text="LEAK FOUND", fix="REPLACED SEAL"):
-    date = dt.date.fromisoformat(day) if day else None
-    return (f"r{i}", code, asset, base, date, labor, hours, job, found, kind, text, fix)
-
-
 @pytest.fixture
 def frame(spark):
     return lambda rows: spark.createDataFrame(rows, SCHEMA)
-
-
-def table(df, *columns):
-    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=str)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import row, table
+from record_helpers import row, table
 from pyspark.sql import functions as F
 
 from hangarlog.functions.text import title_case

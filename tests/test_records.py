@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import row, table
+from record_helpers import row, table
 from pyspark.sql import functions as F
 
 from hangarlog.operators import clean, counts, filters, quality
