@@ -1,16 +1,10 @@
 from __future__ import annotations
 
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from hangarlog.llm import frames
+from llm_helpers import DOCS, doc, prose
 
-from hangarlog.llm import frames  # noqa: E402
-from llm_helpers import DOCS, doc, prose  # noqa: E402
 
 @pytest.fixture(autouse=True)
 def _dropped():
