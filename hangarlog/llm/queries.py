@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hangarlog.llm import ann, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality, sharding, url_filter
+from hangarlog.llm import ann, exact_dedup, hard_negatives, html_text, jaccard_join, language_id, license_scan, mixing, packing, quality, sharding
+from hangarlog.llm import url_filter, whitening
 from hangarlog.llm.frames import table
 
 SHARDS = 40
@@ -72,6 +73,21 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, folder, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    parts = rows.select("vec_id", "n", "deviation", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part"), "identity_error")
+    return parts.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error")
+
+
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +96,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_url_filter, op4_ngram_jaccard, op5_mixing, op6_packing,
-                                    op7_quality, op8_license_scan, op9_language_id, op10_nearest, pipeline)}
+                                    op7_quality, op8_license_scan, op9_language_id, op10_nearest, op11_hard_negatives, op12_whitening,
+                                    op13_html_text, pipeline)}
 
 
 _OP1 = f"""
@@ -113,7 +130,25 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN regexp_matche
        '(^|\\.)({'|'.join(LISTED_SITES)})\\.({'|'.join(d.replace('.', chr(92) + '.') for d in LISTED_DOMAINS)})$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM found WHERE place = 1"""
 
+_OP11 = """
+WITH sized AS (SELECT max(d) AS d FROM (SELECT len(embedding) AS d, count(*) AS n FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY n DESC, d LIMIT 1) s),
+r AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings, sized
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = d AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_inner_product(a.x, c.x)::BIGINT AS score
+  FROM r a JOIN r c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB has no crc32, so op1 has no twin here; its test computes one."""
-    return {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3}
+    return {"op2_exact_dedup": _OP2, "op3_url_filter": _OP3, "op11_hard_negatives": _OP11}
