@@ -216,6 +216,57 @@ def test_licenses_against_brute_force(docs, odd_rows):
     assert license_scan.scan_licenses(docs([]))[1].collect() == []
 
 
+def _own_labels(text):
+    """Labels and the best coverage by the definition: every diagonal with those in its template's reach."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    labels, best = set(), 0.0
+    for phrase, label in license_scan.TEMPLATES:
+        t = phrase.split()
+        places = {i: (a, b) for i, (a, b) in enumerate(zip(t, t[1:])) if not (a in license_scan.COMMON and b in license_scan.COMMON)}
+        votes = defaultdict(set)
+        for pos, pair in enumerate(zip(w, w[1:])):
+            for i, own in places.items():
+                if own == pair:
+                    votes[pos - i].add(i)
+        reach = license_scan.GAP + len(t) // license_scan.DRIFT
+        for d in votes:
+            share = len(set().union(*(v for e, v in votes.items() if abs(e - d) <= reach))) / len(places)
+            if share >= license_scan.COVERAGE:
+                labels, best = labels | {label}, max(best, share)
+    return labels, best
+
+
+def test_own_labels_on_repeated_words_and_long_templates(docs, monkeypatch):
+    rng = random.Random(6)
+    mit = dict((label, phrase) for phrase, label in license_scan.TEMPLATES)["mit-text"].split()
+    long = [rng.choice(WORDS) + str(rng.randint(0, 40)) for _ in range(1600)]
+    monkeypatch.setattr(license_scan, "TEMPLATES", (*license_scan.TEMPLATES, (" ".join(long), "long")))
+
+    def worn(words, every):
+        out = []
+        for i, x in enumerate(words):
+            out += [] if i % every == 3 else [x, "added"] if i % every == 7 else [x]
+        return " ".join(out)
+
+    texts = ["released under the mit license" + " mit license" * k for k in (0, 1, 4, 400)]
+    texts += ["mit license " * 40 + "released under the mit license", "the mit license " * 300, "License: " + " ".join(mit).upper(), worn(mit, 15), worn(mit, 4), " ".join(mit[:100]),
+              " ".join(mit) * 3, " ".join(long), worn(long, 30), " ".join(long[:1100]), " ".join(long[:1300]) + " " + " ".join(long)]
+    for _ in range(40):  # words of templates at random, many repeats
+        source = rng.choice(license_scan.TEMPLATES[:8])[0].split()
+        texts.append(" ".join(x for _ in range(rng.randint(1, 5)) for x in source[rng.randint(0, 2):len(source) - rng.randint(0, 3)] * rng.randint(1, 2) if rng.random() > 0.1))
+    spans, summary = license_scan.scan_licenses(docs([doc(i, t) for i, t in enumerate(texts)]), templates=license_scan.TEMPLATES)
+    got = {r.doc_id: r for r in summary.collect()}
+    base = {label for _, label in license_scan.BASE}
+    for i, text in enumerate(texts):
+        labels, best = _own_labels(text)
+        assert set(filter(None, got[i].labels.split(","))) - base == labels - base, text[:80]
+        assert got[i].n_base or got[i].score == pytest.approx(best), text[:80]
+    assert "mit" in got[0].labels and all(got[i].labels == got[0].labels for i in (1, 2, 3, 4)) and got[6].labels == "mit,mit-text" == got[7].labels
+    assert "long" in got[11].labels and "long" in got[12].labels and got[13].labels == "" and "long" in got[14].labels
+    for r in spans.filter("not base").collect():
+        assert 0 < r.last_word - r.first_word < 1.5 * 1600 + 200
+
+
 # ---- nearest neighbours ----------------------------------------------------
 
 def _truth(rows, k):
