@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from catalog.base import PHRASE, query, sql
+from catalog.base import PHRASE, VIEWS, query, sql
 from hangarlog.functions import arrays
 from hangarlog.operators import geo, narrative, related, sections
 from hangarlog.plans.profile import profile
@@ -331,6 +331,93 @@ def _(spark, d):
     )
 
 
+LABOR = "total_hours mean_hours median_hours max_hours fleet_mean_hours labor_share_pct record_share_pct burden_index".split()
+TREND = "earlier_records recent_records change_pct first_full_year last_full_year excluded_year".split()
+MONTH_NAMES = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
+
+
+def section_sql() -> str:
+    """Every section of the profile from the tables that the single-section queries use: code, section, place, item, n, value."""
+    part = lambda name, source, place, item, n="NULL", value="NULL": (
+        f"SELECT code, '{name}' AS section, cast({place} AS int) AS place, cast({item} AS string) AS item, cast({n} AS bigint) AS n, cast({value} AS double) AS value FROM ({source}) s")
+    lists = [part(f"top_{name}", ranked(source, limit), "rank", "item", "n") for name, source, limit in (
+        ("phrase", phrases("discrepancy"), 5), ("fix", phrases("corrective_action"), 5), ("base", "SELECT code, base_key AS item, n FROM base_n", 10),
+        ("keyword", "SELECT code, token AS item, count(*) AS n FROM tokens GROUP BY 1, 2", 10),
+        ("fix_keyword", "SELECT code, token AS item, count(*) AS n FROM fix_tokens GROUP BY 1, 2", 10))]
+    site = "SELECT code, site AS item, lat, lon, sum(n) AS n FROM base_n JOIN located USING (base_key) WHERE site IS NOT NULL GROUP BY ALL"
+    placed = f"SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, item) AS rank FROM ({site}) q"
+    conc = f"SELECT * FROM ({TOP8}) x WHERE rank <= 8"
+    phase = lambda column, view: ranked(f"SELECT code, phase AS item, n FROM ({phase_sql(column, view)}) h", 1000)
+    trend = "SELECT *, CASE WHEN earlier_records > 0 THEN 100.0::double * (recent_records - earlier_records) / earlier_records END AS change_pct FROM halves"
+    direction = f"""SELECT code, CASE WHEN change_pct > 15 THEN 'rising' WHEN change_pct < -15 THEN 'falling' ELSE 'steady' END AS item
+        FROM ({trend}) t WHERE change_pct IS NOT NULL"""
+    together = """SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, item) AS rank FROM (
+        SELECT a.code, b.code AS item, sum(b.n) AS n FROM jc a JOIN jc b ON a.job_id = b.job_id AND a.code <> b.code GROUP BY 1, 2) p"""
+    parts = lists + [
+        part("months", "SELECT c.code, m, count(r.code) AS n FROM (SELECT DISTINCT code FROM records) c CROSS JOIN range(1, 13) t(m) "
+             "LEFT JOIN records r ON r.code = c.code AND month(r.start_date) = m GROUP BY 1, 2", "m", f"({MONTH_NAMES})[m]", "n"),
+        part("years", "SELECT code, year, n, row_number() OVER (PARTITION BY code ORDER BY year) AS rank FROM years", "rank", "year", "n"),
+        part("year_months", "SELECT code, item, n, row_number() OVER (PARTITION BY code ORDER BY item) AS rank FROM "
+             "(SELECT code, strftime(start_date, '%Y-%m') AS item, count(*) AS n FROM records GROUP BY 1, 2) y", "rank", "item", "n"),
+        part("sites", placed, "rank", "item", "n", "lat"), part("sites_east", placed, "rank", "item", "n", "lon"),
+        part("coverage", "SELECT code, coalesce(sum(n) FILTER (site IS NOT NULL), 0) AS n, sum(n) AS value FROM base_n JOIN located USING (base_key) GROUP BY 1", "1", "'mapped of all'", "n", "value"),
+        part("concentration", conc, "rank", "place", "records", '"index"'), part("expected", conc, "rank", "place", "records", "expected"),
+        part("discovered", phase("discovered_code", "discovery"), "rank", "item", "n"), part("maint_type", phase("maint_type_code", "maintenance"), "rank", "item", "n"),
+        part("hour_bands", f"SELECT * FROM ({BANDS}) b", "band_no + 1", "band", "n"),
+        part("cooccurring", f"SELECT * FROM ({together}) z WHERE rank <= 5", "rank", "item", "n"),
+        part("trend_direction", direction, "1", "item"),
+        *[part("trend", f"SELECT * FROM ({trend}) t WHERE {c} IS NOT NULL", i + 1, f"'{c}'", "NULL", c) for i, c in enumerate(TREND)],
+        part("labor_verdict", "SELECT code, verdict AS item FROM labor", "1", "item"),
+        *[part("labor", f"SELECT * FROM labor WHERE {c} IS NOT NULL", i + 1, f"'{c}'", "NULL", c) for i, c in enumerate(LABOR)]]
+    return " UNION ALL ".join(parts)
+
+
+LABOR_SQL = """
+    SELECT *, 100.0::double * (total_hours / fleet_hours) AS labor_share_pct, 100.0::double * (n / fleet_n) AS record_share_pct,
+           fleet_hours / fleet_n AS fleet_mean_hours, (total_hours / fleet_hours) / (n / fleet_n) AS burden_index,
+           CASE WHEN (total_hours / fleet_hours) / (n / fleet_n) >= 1.25 THEN 'expensive'
+                WHEN (total_hours / fleet_hours) / (n / fleet_n) <= 0.8 THEN 'cheap' ELSE 'typical' END AS verdict
+    FROM (SELECT code, count(labor_hours) AS n, sum(labor_hours) AS total_hours, avg(labor_hours) AS mean_hours,
+                 median(labor_hours) AS median_hours, max(labor_hours) AS max_hours FROM records GROUP BY 1) c,
+         (SELECT sum(labor_hours) AS fleet_hours, count(labor_hours) AS fleet_n FROM records) f"""
+
+
+# Every section of the assembled profile, one row for each entry.
+@query("a24_profile_sections", sql(
+    "records base_n located tokens discovery maintenance", section_sql(), labor=LABOR_SQL, jc="SELECT job_id, code, count(*) AS n FROM records GROUP BY 1, 2",
+    fix_tokens=VIEWS["tokens"][0].replace("discrepancy", "corrective_action"),
+    edges="""SELECT quantile_cont(flight_hours, 0.25) AS q0, quantile_cont(flight_hours, 0.5) AS q1,
+                    quantile_cont(flight_hours, 0.75) AS q2 FROM records""",
+    banded="""SELECT code, CASE WHEN flight_hours <= -1 THEN NULL WHEN flight_hours <= q0 THEN 0
+                     WHEN flight_hours <= q1 THEN 1 WHEN flight_hours <= q2 THEN 2 ELSE 3 END AS band_no
+              FROM records, edges""", **YEARS, **BY_BASE))
+def _(spark, d):
+    p = _profile(spark, d)
+    none = F.lit(None)
+
+    def entries(section, column, item, n=lambda e: none, value=lambda e: none):
+        return F.transform(F.coalesce(F.col(column), F.array().cast(p.schema[column].dataType)), lambda e, i: F.struct(
+            F.lit(section).alias("section"), (i + 1).alias("place"), item(e).cast("string").alias("item"), n(e).cast("bigint").alias("n"), value(e).cast("double").alias("value")))
+
+    def single(section, place, item, n=none, value=none):
+        return F.array(F.struct(F.lit(section).alias("section"), F.lit(place).alias("place"), item.cast("string").alias("item"),
+                                n.cast("bigint").alias("n"), value.cast("double").alias("value")))
+
+    item, n = (lambda e: e["item"]), (lambda e: e["n"])
+    parts = [entries(c, c, item, n) for c in ("top_phrase", "top_fix", "top_base", "top_keyword", "top_fix_keyword", "months", "years", "discovered", "maint_type", "cooccurring")]
+    parts += [
+        entries("year_months", "year_months", lambda e: F.concat(e["year"].cast("string"), F.lit("-"), F.lpad(e["month"].cast("string"), 2, "0")), n),
+        entries("sites", "sites", lambda e: e["site"], n, lambda e: e["lat"]), entries("sites_east", "sites", lambda e: e["site"], n, lambda e: e["lon"]),
+        entries("concentration", "concentration", lambda e: e["base"], lambda e: e["records"], lambda e: e["index"]),
+        entries("expected", "concentration", lambda e: e["base"], lambda e: e["records"], lambda e: e["expected"]),
+        entries("hour_bands", "hour_bands", lambda e: e["band"], n),
+        single("coverage", 1, F.when(F.col("site_coverage").isNotNull(), "mapped of all"), F.col("site_coverage.mapped"), F.col("site_coverage.total")),
+        single("trend_direction", 1, F.col("trend.direction")), single("labor_verdict", 1, F.col("labor.verdict")),
+        *[single("trend", i + 1, F.when(F.col(f"trend.{c}").isNotNull(), c), none, F.col(f"trend.{c}")) for i, c in enumerate(TREND)],
+        *[single("labor", i + 1, F.when(F.col(f"labor.{c}").isNotNull(), c), none, F.col(f"labor.{c}")) for i, c in enumerate(LABOR)]]
+    return p.select("code", F.explode(F.concat(*parts)).alias("e")).select("code", "e.*").where("item IS NOT NULL")
+
+
 @query("n1_narrative")
 def _(spark, d):
     return narrative.narrative(_profile(spark, d)).select("code", "narrative")

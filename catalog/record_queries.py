@@ -238,6 +238,50 @@ def _(spark, d):
     )
 
 
+BUNDLE_PARTS = {
+    "totals": "SELECT 'share' AS item, count(*) FILTER (start_date BETWEEN date '{s}' AND date '{e}') AS n, 100.0::double * count(*) FILTER (start_date BETWEEN date '{s}' AND date '{e}') / count(*) AS value FROM records",
+    "headline": "SELECT unnest(['records', 'assets', 'codes']) AS item, unnest([count(*), count(DISTINCT asset_id), count(DISTINCT code)]) AS n, NULL AS value FROM hits",
+    "dates": "SELECT concat(min(start_date), ' ', max(start_date)) AS item, NULL AS n, NULL AS value FROM hits",
+    "top_discrepancies": "SELECT trim(discrepancy) AS item, count(*) AS n, NULL AS value FROM hits GROUP BY 1 ORDER BY n DESC, item LIMIT 10",
+    "top_fixes": "SELECT trim(corrective_action) AS item, count(*) AS n, NULL AS value FROM hits GROUP BY 1 ORDER BY n DESC, item LIMIT 10",
+    "issues_by_month": "SELECT month AS item, n, CASE WHEN count(*) OVER w >= 3 AND count(*) OVER () >= 6 THEN avg(n) OVER w END AS value FROM "
+                       "(SELECT strftime(start_date, '%Y-%m') AS month, count(*) AS n FROM hits GROUP BY 1) m WINDOW w AS (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)",
+    "seasonality": "SELECT lpad(cast(m AS string), 2, '0') AS item, count(start_date) AS n, NULL AS value FROM range(1, 13) t(m) LEFT JOIN hits ON month(start_date) = m GROUP BY 1",
+    "base_breakdown": "SELECT trim(base) AS item, count(*) AS n, NULL AS value FROM hits WHERE base IS NOT NULL GROUP BY 1 ORDER BY n DESC, item LIMIT 10",
+    "asset_leaderboard": "SELECT asset_id AS item, count(*) AS n, NULL AS value FROM hits GROUP BY 1 ORDER BY n DESC, item LIMIT 10",
+    "code_breakdown": "SELECT CASE WHEN description IS NULL THEN code ELSE concat(code, ' (', description, ')') END AS item, n, NULL AS value FROM "
+                      "(SELECT code, count(*) AS n FROM hits GROUP BY 1 ORDER BY n DESC, code LIMIT 10) c LEFT JOIN dictionary USING (code)",
+    "prior_period": "SELECT 'prior' AS item, prior AS n, CASE WHEN prior = 0 THEN 0 ELSE 100.0::double * (total - prior) / prior END AS value FROM (SELECT count(*) FILTER (start_date BETWEEN date '{s}' AND date '{e}') AS total, "
+                    "count(*) FILTER (start_date BETWEEN date '{s}' - cast(date '{e}' - date '{s}' + 1 AS int) AND date '{s}' - 1) AS prior FROM records) x",
+}
+
+
+# Every part of the bundle, one row for each entry.
+@query("a9_analysis_parts", sql("records dictionary", " UNION ALL ".join(
+    f"SELECT '{name}' AS part, cast(item AS string) AS item, cast(n AS bigint) AS n, cast(value AS double) AS value FROM ({body.format(s=START, e=END)}) p_{name}" for name, body in BUNDLE_PARTS.items()),
+    hits=f"SELECT * FROM records WHERE start_date BETWEEN date '{START}' AND date '{END}'"))
+def _(spark, d):
+    recs = star.records(spark, d)
+    out = analyze(recs, star.code_dictionary(recs), start=START, end=END)
+    none = F.lit(None)
+    col = F.col
+
+    def part(name, df, item=col("item"), n=col("n"), value=none):
+        return df.select(F.lit(name).alias("part"), item.cast("string").alias("item"), n.cast("bigint").alias("n"), value.cast("double").alias("value"))
+
+    head = out["headline"]
+    parts = [part("totals", out["totals"], F.lit("share"), col("total"), col("share_pct")),
+             *[part("headline", head, F.lit(item), col(c)) for item, c in (("records", "total"), ("assets", "distinct_assets"), ("codes", "distinct_codes"))],
+             part("dates", head, F.concat_ws(" ", "first_date", "last_date"), none), part("issues_by_month", out["issues_by_month"], col("month"), value=col("rolling_mean")),
+             part("seasonality", out["seasonality"], F.lpad(col("month").cast("string"), 2, "0")), part("code_breakdown", out["code_breakdown"], col("label")),
+             part("prior_period", out["prior_period"], F.lit("prior"), col("prior_total"), col("delta_pct")),
+             *[part(name, out[name]) for name in ("top_discrepancies", "top_fixes", "base_breakdown", "asset_leaderboard")]]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
 # ---- windows ---------------------------------------------------------------
 
 ROLL = """CASE WHEN count(*) OVER w >= 3 AND count(*) OVER ({0}) >= 6 THEN avg(n) OVER w END AS rolling_mean

@@ -10,6 +10,7 @@ from catalog.base import AS_OF, PHRASE, query, sql
 from hangarlog.functions import arrays, dates, labels, text
 from hangarlog.operators import classify, counts, evaluate, narrative, questions, sections, split
 from hangarlog.plans import scoring
+from hangarlog.reference_data import CONFIDENCE_BANDS, CONFIDENCE_EDGES, TEXT_SEPARATOR
 from hangarlog.sources import star
 
 
@@ -492,8 +493,31 @@ def _(spark, d):
     return evaluate.macro_f1(rows)
 
 
+def _prediction_sql() -> str:
+    high, mid, low = CONFIDENCE_BANDS
+    first, second = CONFIDENCE_EDGES
+    ctes = {
+        "texts": f"SELECT record_id AS key, code AS label, concat(trim(discrepancy), '{TEXT_SEPARATOR}', trim(corrective_action)) AS text, discrepancy, corrective_action FROM records",
+        "once": "SELECT min(key) AS key, label, text FROM texts WHERE length(text) >= 10 AND regexp_full_match(label, '[A-Z0-9]{3,6}') GROUP BY label, text",
+        "train": """SELECT label, text FROM (
+            SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', key))) AS place, count(*) OVER (PARTITION BY label) AS n FROM once) o
+            WHERE n >= 5 AND place <= ceil(cast(0.8 AS double) * n)""",
+        "asked": "SELECT key, label, upper(text) AS text, discrepancy, corrective_action FROM texts WHERE upper(text) NOT IN (SELECT upper(text) FROM train)",
+        **naive_bayes("nb", "train", "asked"),
+        "wide": """SELECT key, max(label) FILTER (rank = 1) AS pred_1, max(label) FILTER (rank = 2) AS pred_2, max(label) FILTER (rank = 3) AS pred_3,
+            round_even(max(confidence) FILTER (rank = 1), 2) AS confidence_1 FROM nb WHERE rank <= 3 GROUP BY key""",
+        "banded": f"""SELECT *, CASE WHEN confidence_1 >= {first} THEN '{high}' WHEN confidence_1 >= {second} THEN '{mid}' ELSE '{low}' END AS confidence_band FROM wide""",
+    }
+    return sql("records dictionary", """
+        SELECT key AS record_id, discrepancy, corrective_action, pred_1, pred_2, pred_3, confidence_1,
+               coalesce(description, concat('(no dictionary entry for ', pred_1, ')')) AS pred_definition_1, confidence_band, text AS model_input, label AS truth,
+               '' AS true_code, '' AS top1_correct, '' AS top3_correct, '' AS notes
+        FROM (SELECT *, row_number() OVER (PARTITION BY confidence_band ORDER BY md5(concat('42:', key))) AS place FROM banded) b
+        JOIN asked USING (key) LEFT JOIN dictionary ON pred_1 = dictionary.code WHERE place <= 34""", **ctes)
+
+
 # Whole file: codes in full, texts the model has seen left out, every other record scored, a sheet drawn from it.
-@query("m7_prediction_file")
+@query("m7_prediction_file", _prediction_sql())
 def _(spark, d):
     recs = star.records(spark, d)
     ready = scoring.prepare_training(recs)

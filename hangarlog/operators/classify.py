@@ -17,7 +17,7 @@ from hangarlog.functions.arrays import entry
 from hangarlog.functions.labels import confidence_band
 from hangarlog.functions.text import subsystem_of, system_of
 from hangarlog.operators.evaluate import macro_f1, wide_predictions
-from hangarlog.plans.sizing import join_small, keep
+from hangarlog.plans.sizing import fits_broadcast, join_small, keep
 from hangarlog.reference_data import UNKNOWN_DEFINITION, UNKNOWN_SYSTEM
 
 LEVELS = {"system": system_of, "subsystem": subsystem_of, "code": F.col}
@@ -89,7 +89,9 @@ def _bare_score() -> Column:
 def _leaders(labels: DataFrame, known: DataFrame, k: int) -> DataFrame:
     """For each number of known tokens the k labels with the best bare scores, that of the best, and the whole of all as shares of it."""
     number = Window.partitionBy("known")
-    scored = labels.crossJoin(F.broadcast(known)).select("known", "target", _bare_score().alias("bare"))
+    # One row a label and length: lengths are few, and are counted before they are sent to every task.
+    lengths = F.broadcast(known) if fits_broadcast(known) else known
+    scored = labels.crossJoin(lengths).select("known", "target", _bare_score().alias("bare"))
     return scored.withColumns({
         "lead": F.max("bare").over(number), "place": F.row_number().over(number.orderBy(F.desc("bare"), "target")),
     }).withColumn("whole", F.sum(F.exp(F.col("bare") - F.col("lead"))).over(number)).where(F.col("place") <= k)
@@ -112,7 +114,7 @@ def predict_topk(model: CountModel, df: DataFrame, k: int = 3, text: str = "text
     tokens = once.select(*keys, F.explode(text_tokens("_text")).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     found = tokens.join(model.weights.select("token").distinct(), "token", "left_semi").select(*keys, F.col("tf").alias("known"))
     known = keep(found.unionByName(once.select(*keys, F.lit(0).cast("bigint").alias("known"))).groupBy(*keys).agg(F.sum("known").alias("known")))
-    leaders = keep(_leaders(model.labels, known.select("known").distinct(), k))
+    leaders = keep(_leaders(model.labels, keep(known.select("known").distinct()), k))
     hits = tokens.join(model.weights, "token").select(*keys, "target", (F.col("tf") * F.col("gain")).alias("gained"))
     ahead = join_small(known, leaders.select("known", "target"), ["known"]).select(*keys, "target", F.lit(0.0).alias("gained"))
     gains = hits.unionByName(ahead).groupBy(*keys, "target").agg(F.sum("gained").alias("gained"))

@@ -11,13 +11,19 @@ from hangarlog.plans.sizing import keep
 
 def analyze(records: DataFrame, dictionary: DataFrame | None = None, asset_id: str | None = None,
             code: str | None = None, start: Day = None, end: Day = None) -> dict[str, DataFrame]:
-    """Named results over the records that match. Only the columns they need
-    are kept of those, once; ``sizing.release()`` lets go of them."""
+    """Named results over the records that match.
+
+    Of records picked by a filter only the columns needed are kept, once;
+    ``sizing.release()`` lets go of them. Without a filter nothing is kept:
+    each result then scans the few columns of its own.
+    """
     wanted = [
         c for c in ("asset_id", "code", "start_date", "base", "discrepancy", "corrective_action",
                     "discrepancy_normalized", "corrective_action_normalized") if c in records.columns
     ]
-    hits = keep(query_records(records, asset_id, code, start, end).select(*wanted))
+    hits = query_records(records, asset_id, code, start, end).select(*wanted)
+    if not (asset_id is None and code is None and start is None and end is None):
+        hits = keep(hits)
     out = {
         "totals": counts.match_share(records, record_predicate(asset_id, code, start, end)),
         "headline": hits.agg(
