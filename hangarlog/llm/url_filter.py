@@ -5,11 +5,14 @@ can have) form the universe. Level 0 encodes the listed keys; level 1 the keys
 of the universe that level 0 takes for listed; level 2 the listed keys that
 level 1 takes for such; and so on until no key is left. A key is listed if the
 number of levels it passes is odd. Within the universe there is no error, and
-a page is judged in its row: nothing is joined.
+a page is judged in its row: nothing is joined. A level is made as large as it
+takes to let no more keys through than it holds itself, so levels grow with
+the list, and with the universe by its logarithm only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,8 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hangarlog.llm.frames import free_name, stash
 from hangarlog.llm.textbytes import mix
 
-BITS_PER_KEY = 10
-HASHES = 5
+#: Share of the keys outside that a level may let through at most; less where the universe is more than so many times the list.
+FALSE_SHARE = 0.01
 #: Bits of a level that a task holds; a longer list is cut by key hash and tested slice by slice.
 SLICE_BITS = 1 << 28
 
@@ -43,16 +46,16 @@ def key_hashes(key: Column) -> tuple[Column, Column]:
 
 
 class Level:
-    """One Bloom filter: HASHES positions of a key in an array of bits."""
+    """One Bloom filter: some positions of a key in an array of bits."""
 
-    def __init__(self, number: int, bits: int, words: np.ndarray | None = None):
-        self.number, self.bits = number, bits
-        self.words = np.zeros(-(-bits // 64), dtype=np.uint64) if words is None else words
+    def __init__(self, number: int, bits: int, hashes: int):
+        self.number, self.bits, self.hashes = number, bits, hashes
+        self.words = np.zeros(-(-bits // 64), dtype=np.uint64)
 
     def positions(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         a = mix(h1.astype(np.uint64) + np.uint64(2 * self.number + 1))
         b = mix(h2.astype(np.uint64) + np.uint64(2 * self.number + 1)) | np.uint64(1)
-        return (a[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * b[None, :]) % np.uint64(self.bits)
+        return (a[None, :] + np.arange(self.hashes, dtype=np.uint64)[:, None] * b[None, :]) % np.uint64(self.bits)
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         at = self.positions(h1, h2)
@@ -73,8 +76,15 @@ class Cascade:
         return passed % 2 == 1
 
 
-def _encode(keys: DataFrame, number: int, count: int) -> Level:
-    level = Level(number, max(64, BITS_PER_KEY * count))
+def _shape(inside: int, outside: int) -> tuple[float, int]:
+    """Bits a key and hashes with which, of `outside` keys, about as many pass as are inside, or fewer."""
+    need = -math.log2(min(FALSE_SHARE, max(inside, 1) / max(outside, 1)))
+    return 1.45 * need, max(2, math.ceil(need))
+
+
+def _encode(keys: DataFrame, number: int, count: int, others: int) -> Level:
+    bits_a_key, hashes = _shape(count, others)
+    level = Level(number, max(64, math.ceil(bits_a_key * count)), hashes)
 
     def bits(batches):
         for batch in batches:
@@ -84,7 +94,7 @@ def _encode(keys: DataFrame, number: int, count: int) -> Level:
                 [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"])
 
     words = keys.select("h1", "h2").mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask"))
-    found = words.toPandas()  # a filter's own words: at most SLICE_BITS / 64 rows
+    found = words.toPandas()  # a level's own words: about SLICE_BITS / 64 rows at most
     level.words[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     return level
 
@@ -102,19 +112,25 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64)
     inside = listed.select("h1", "h2")
     outside = universe.select("h1", "h2").join(inside, ["h1", "h2"], "left_anti")
     levels: list[Level] = []
+    count, others = inside.count(), outside.count()
     while len(levels) < most_levels:
-        count = inside.count()
         if not count:
             return Cascade(levels)
-        levels.append(_encode(inside, len(levels), count))
+        levels.append(_encode(inside, len(levels), count, others))
         inside, outside = stash(_passing(outside, levels[-1])), inside
+        count, others = inside.count(), count
     raise ValueError("two different keys share both 64-bit hashes")
 
 
 def build_slices(listed: DataFrame, universe: DataFrame) -> list[Cascade]:
-    """Cascades of the keys whose h1 falls into slice 0, 1, ...; one slice unless the list is very long."""
+    """Cascades of the keys whose h1 falls into slice 0, 1, ...; one slice unless the list is very long.
+
+    No level of a slice holds more than about twice SLICE_BITS: the first is
+    cut to that, and the others hold no more keys than the one before.
+    """
     listed, universe = stash(listed.distinct()), stash(universe.distinct())
-    slices = max(1, -(-listed.count() * BITS_PER_KEY // SLICE_BITS))
+    count = listed.count()
+    slices = max(1, math.ceil(count * _shape(count, universe.count())[0] / SLICE_BITS))
     part = F.pmod("h1", F.lit(slices))
     return [build_cascade(listed.filter(part == i), universe.filter(part == i)) for i in range(slices)]
 

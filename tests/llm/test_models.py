@@ -55,7 +55,7 @@ def test_urls_against_brute_force(spark, monkeypatch, slice_bits):
 
 
 def test_a_cascade_is_exact_on_its_universe(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 3)  # many false positives, so many levels
+    monkeypatch.setattr(url_filter, "FALSE_SHARE", 0.3)  # many false positives, so many levels
     universe = spark.range(4000).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), "id")
     cascade = url_filter.build_cascade(universe.filter("id % 7 = 0"), universe)
     rows = universe.toPandas()
@@ -64,6 +64,16 @@ def test_a_cascade_is_exact_on_its_universe(spark, monkeypatch):
     assert not url_filter.build_cascade(universe.limit(0), universe).contains(rows.h1.to_numpy(), rows.h2.to_numpy()).any()
 
 
+def test_levels_grow_with_the_list_and_not_with_the_universe(spark):
+    for size in (20_000, 200_000):
+        universe = spark.range(size).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), "id")
+        cascade = url_filter.build_cascade(universe.filter("id < 200"), universe)
+        assert cascade.levels[0].bits < 200 * 1.45 * (np.log2(size / 200) + 1) + 64
+        assert all(level.bits < 200 * 1.45 * 7 * 2 for level in cascade.levels[1:])  # up to twice as many as expected
+        rows = universe.toPandas()
+        assert (cascade.contains(rows.h1.to_numpy(), rows.h2.to_numpy()) == (rows.id.to_numpy() < 200)).all()
+
+
 # ---- language --------------------------------------------------------------
 
 def test_language_on_held_out_documents(spark):
