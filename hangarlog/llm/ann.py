@@ -5,7 +5,8 @@ A query walks the tree best bin first: a priority queue holds nodes by the
 inner product their vectors can be expected to reach, and leaves are visited
 as they come up. How many is calibrated: a bounded set of queries is answered
 by brute force over all rows, and visits are widened until the wanted share of
-those answers lies in visited leaves.
+those answers lies in visited leaves. A walk goes on beyond that until its
+leaves hold enough vectors for a full answer.
 
 Copies of one vector are ranked by identifier, so only the first k + 1 of them
 can be among anyone's k nearest; the others are answered as queries but need
@@ -97,18 +98,19 @@ class KMeansTree:
                     pending.append((child, rows[near == j]))
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> Iterator[list[int]]:
-        """For each query, leaf numbers in best-bin-first order."""
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> Iterator[list[int]]:
+        """For each query, leaf numbers in best-bin-first order: `most`, and on until they hold `least` vectors by the counts in held."""
         hope = q @ self.table.T + SPREAD * np.sqrt((q ** 2).sum(axis=1))[:, None] * self.reach[None, :]
         for row in hope:
-            queue, found = [(-row[0], 0)], []
-            while queue and len(found) < most:
+            queue, found, seen = [(-row[0], 0)], [], 0
+            while queue and (len(found) < most or held is not None and seen < least):
                 _, node = heapq.heappop(queue)
                 if self.children[node]:
                     for child in self.children[node]:
                         heapq.heappush(queue, (-row[child], child))
                 else:
                     found.append(self.number[node])
+                    seen += 0 if held is None else held[found[-1]]
             yield found
 
 
@@ -202,12 +204,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = T
     shelved = stash(placed.join(blocks, "leaf").select(
         "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v"))
 
+    held = np.zeros(len(tree.leaves), dtype=np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # one row a leaf
+        held[r["leaf"]] = r["count"]
+
     def walk(batches):
         schema = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), ("v", pa.list_(number)), ("leaf", pa.int64()), ("turn", pa.int32())])
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
-                paths = list(tree.visits(_matrix(batch.column("v")), visits))
+                paths = list(tree.visits(_matrix(batch.column("v")), visits, held, k + 1))
                 at = pa.array(np.repeat(np.arange(len(paths)), [len(p) for p in paths]))
                 yield record(schema, [*(batch.column(c).take(at) for c in ("v1", "v2", "v")),
                                       np.concatenate(paths), np.concatenate([np.arange(len(p)) for p in paths])])

@@ -74,6 +74,19 @@ def test_levels_grow_with_the_list_and_not_with_the_universe(spark):
         assert (cascade.contains(rows.h1.to_numpy(), rows.h2.to_numpy()) == (rows.id.to_numpy() < 200)).all()
 
 
+def test_walks_go_on_until_an_answer_is_full(spark, monkeypatch):
+    """Tight clusters of fewer vectors than are asked for, and one leaf a query by calibration."""
+    monkeypatch.setattr(ann, "LEAF_SAMPLE", 4)
+    monkeypatch.setattr(ann, "_calibrated", lambda *a: 1)
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(60, 8)) * 10
+    rows = [(i, (centres[i % 60] + draw.normal(size=8) / 100).tolist()) for i in range(300)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20)
+    assert {r["count"] for r in out.groupBy("query_id").count().collect()} == {20}
+    few = ann.nearest(spark.createDataFrame(rows[:12], "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, k=20)
+    assert {r["count"] for r in few.groupBy("query_id").count().collect()} == {11}
+
+
 # ---- language --------------------------------------------------------------
 
 def test_language_on_held_out_documents(spark):
