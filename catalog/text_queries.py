@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import calendar
+import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.base import AS_OF, PHRASE, query, sql
 from hangarlog.functions import arrays, dates, labels, text
-from hangarlog.operators import classify, counts, evaluate, narrative, questions, sections, split
+from hangarlog.operators import classify, count_store, counts, evaluate, narrative, questions, sections, split
 from hangarlog.plans import scoring
 from hangarlog.reference_data import CONFIDENCE_BANDS, CONFIDENCE_EDGES, TEXT_SEPARATOR
+from hangarlog.session import ensure_checkpoint_dir
 from hangarlog.sources import star
 
 
@@ -470,6 +472,22 @@ def _(spark, d):
     return wide.select("doc_id", F.col("label").alias("truth"), "pred_1", "pred_2", "pred_3", "confidence_1", "confidence_2", "confidence_3")
 
 
+# The same rows in three batches, one of them replayed, compacted on the way: predictions equal those of one fit.
+@query("m5_stored_counts", sql("", "SELECT doc_id, p.label AS pred_1, round_even(confidence, 2) AS confidence_1 FROM asked a LEFT JOIN nb p ON a.key = p.key AND rank = 1",
+       docs=DOC_SPLITS, train="SELECT * FROM docs WHERE split = 'train'", asked="SELECT * FROM docs WHERE split <> 'train'", **naive_bayes("nb", "train", "asked")))
+def _(spark, d):
+    docs = split.split(_documents(spark, d), "label", "doc_id")
+    train = docs.where("split = 'train'")
+    path = f"{ensure_checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}"
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    for part in (0, 1, 1):
+        count_store.append_batch(train.where(third == part), path, f"part-{part}", "label")
+    count_store.compact(spark, path)
+    count_store.append_batch(train.where(third == 2), path, "part-2", "label")
+    scored = classify.predict_topk(count_store.stored_model(spark, path), docs.where("split <> 'train'"), 1)
+    return evaluate.wide_predictions(scored, 1).select("doc_id", "pred_1", "confidence_1")
+
+
 def _selected_sql() -> str:
     ctes = {"docs": DOC_SPLITS, "train": "SELECT * FROM docs WHERE split = 'train'", "val": "SELECT * FROM docs WHERE split = 'val'",
             "test": "SELECT * FROM docs WHERE split = 'test'"}
