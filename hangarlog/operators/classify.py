@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hangarlog.functions.arrays import entry
 from hangarlog.functions.labels import confidence_band
 from hangarlog.functions.text import subsystem_of, system_of
-from hangarlog.operators.evaluate import macro_f1, wide_predictions
+from hangarlog.operators.evaluate import macro_f1_by, wide_predictions
 from hangarlog.plans.sizing import fits_broadcast, join_small, keep
 from hangarlog.reference_data import UNKNOWN_DEFINITION, UNKNOWN_SYSTEM
 
@@ -155,16 +155,61 @@ def describe_predictions(df: DataFrame, dictionary: DataFrame, systems: DataFram
     )
 
 
+def setting_predictions(train: DataFrame, val: DataFrame, label: str, settings: Sequence[Mapping], text: str = "text") -> DataFrame:
+    """setting (its index), truth and pred_1 for every row of val and every setting: level, weighted and smoothing.
+
+    Counts are joined with the texts once for each level, and a gain is summed
+    for each smoothing in the same grouping; labels that share no token with
+    a text are led by one label for each setting and number of known tokens,
+    as in predict_topk(). Null texts have no prediction.
+    """
+    keys = {"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(17), text)}
+    once = val.where(F.col(text).isNotNull()).select(*[c.alias(n) for n, c in keys.items()], F.col(text).alias("_text")).dropDuplicates(list(keys))
+    tokens = keep(once.select(*keys, F.explode(text_tokens("_text")).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf")))
+    out = None
+    for level in dict.fromkeys(s.get("level", "code") for s in settings):
+        own = {i: s for i, s in enumerate(settings) if s.get("level", "code") == level}
+        rows = train.where(F.col(label).isNotNull()).select(LEVELS[level](label).alias("target"), F.col(text).alias("text"))
+        counts, sizes = keep(token_counts(rows, "target")), label_counts(rows, "target")
+        vocabulary = counts.select("token").distinct()
+        size = vocabulary.agg(F.count(F.lit(1))).scalar()
+        totals = sizes.join(counts.groupBy("target").agg(F.sum("n").alias("tokens")), "target", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+        every = Window.partitionBy()
+        shares = []
+        for i, s in own.items():
+            smoothing, share = float(s.get("smoothing", 1.0)), F.lit(1.0) if s.get("weighted", True) else F.col("rows").cast("double")
+            shares.append(F.struct(F.lit(i).alias("setting"), F.log(share / F.sum(share).over(every)).alias("prior"),
+                                   F.log(F.lit(smoothing) / (F.col("tokens") + smoothing * size)).alias("absent")))
+        labels = keep(totals.select("target", F.array(*shares).alias("all")).select("target", F.explode("all").alias("e")).select("target", "e.*"))
+        found = tokens.join(vocabulary, "token", "left_semi").select(*keys, F.col("tf").alias("known"))
+        known = keep(found.unionByName(once.select(*keys, F.lit(0).cast("bigint").alias("known"))).groupBy(*keys).agg(F.sum("known").alias("known")))
+        lengths = keep(known.select("known").distinct())
+        bare = labels.crossJoin(F.broadcast(lengths) if fits_broadcast(lengths) else lengths).select("setting", "known", "target", _bare_score().alias("bare"))
+        place = F.row_number().over(Window.partitionBy("setting", "known").orderBy(F.desc("bare"), "target"))
+        leaders = bare.withColumn("_place", place).where("_place = 1").select("setting", "known", "target", F.col("bare").alias("score"))
+        gained = tokens.join(counts, "token").groupBy(*keys, "target").agg(*[
+            F.sum(F.col("tf") * F.log((F.col("n") + float(s.get("smoothing", 1.0))) / F.lit(float(s.get("smoothing", 1.0))))).alias(f"g{i}") for i, s in own.items()])
+        gains = gained.select(*keys, "target", F.explode(F.array(*[F.struct(F.lit(i).alias("setting"), F.col(f"g{i}").alias("gained")) for i in own])).alias("e")).select(*keys, "target", "e.*")
+        hits = join_small(gains, labels, ["target", "setting"]).join(known, list(keys)).select(
+            *keys, "setting", "target", F.round(F.col("prior") + F.col("known") * F.col("absent") + F.col("gained"), SCORE_DECIMALS).alias("score"))
+        led = join_small(known, keep(leaders), ["known"]).select(*keys, "setting", "target", "score")
+        # The smaller label of equal scores: of the best score, the least target.
+        best = hits.unionByName(led).groupBy(*keys, "setting", "score").agg(F.min("target").alias("target")).groupBy(*keys, "setting").agg(
+            F.max_by("target", "score").alias("pred_1"))
+        out = best if out is None else out.unionByName(best)
+    truth = val.select(*[c.alias(n) for n, c in keys.items()], F.explode(F.array(*[
+        F.struct(F.lit(i).alias("setting"), LEVELS[s.get("level", "code")](label).alias("truth")) for i, s in enumerate(settings)])).alias("e")).select(*keys, "e.*")
+    return truth.join(out, [*keys, "setting"], "left").select("setting", "truth", "pred_1")
+
+
 def best_by_macro_f1(train: DataFrame, val: DataFrame, label: str, settings: Sequence[Mapping],
                      text: str = "text") -> tuple[CountModel, list[tuple[Mapping, float]]]:
-    """Fit every setting and keep the model with the best macro F1 on val; ties to the earlier setting."""
-    tried, best, best_score = [], None, -1.0
-    for setting in settings:
-        model = train_classifier(train, label, text, **setting)
-        target = LEVELS[setting.get("level", "code")](label)
-        scored = predict_topk(model, val, 1, text).select(target.alias("truth"), entry("preds", 0, "code").alias("pred_1"))
-        score = macro_f1(scored).first()["macro_f1"]
-        tried.append((setting, score))
-        if score is not None and score > best_score:
-            best, best_score = model, score
-    return best, tried
+    """The model of the setting with the best macro F1 on val, and every setting's score; ties to the earlier setting.
+
+    All settings are scored together; only the best one's model is fitted.
+    """
+    pairs = setting_predictions(train, val, label, settings, text)
+    scores = {r["setting"]: r["macro_f1"] for r in macro_f1_by(pairs, "setting").collect()}  # one row a setting
+    tried = [(setting, scores.get(i)) for i, setting in enumerate(settings)]
+    best = max((i for i, (_, score) in enumerate(tried) if score is not None), key=lambda i: (tried[i][1], -i), default=None)
+    return None if best is None else train_classifier(train, label, text, **settings[best]), tried

@@ -192,6 +192,17 @@ def macro_f1(df: DataFrame, truth: str = "truth", pred: str = "pred_1") -> DataF
     )
 
 
+def macro_f1_by(df: DataFrame, by: str, truth: str = "truth", pred: str = "pred_1") -> DataFrame:
+    """Macro F1 of each value of `by`, in one pass: by and macro_f1."""
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
+    pairs = df.where(F.col(truth).isNotNull()).groupBy(by, normalize_code(truth).alias("truth"), normalize_code(pred).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    booked = F.array(F.struct(F.col("truth").alias("label"), F.when(F.col("truth") == F.col("predicted"), n).otherwise(zero).alias("tp"), n.alias("given")),
+                     F.struct(F.col("predicted").alias("label"), zero.alias("tp"), n.alias("given")))
+    sums = pairs.select(by, F.explode(booked).alias("e")).select(by, "e.*").where("label IS NOT NULL").groupBy(by, "label").agg(
+        F.sum("tp").alias("tp"), F.sum("given").alias("given"))
+    return sums.groupBy(by).agg(F.avg(2.0 * F.col("tp") / F.col("given")).alias("macro_f1"))
+
+
 def confidence_distribution(df: DataFrame, column: str = "confidence_1") -> DataFrame:
     """Mean, median and population deviation."""
     middle = exact_quantiles(df, column, [0.5]).select("q0").scalar()

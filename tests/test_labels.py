@@ -176,6 +176,30 @@ def test_topk_ranks_all_labels(spark, weighted):
     assert [p.code for p in got["seal"]][-1] == "hot"
 
 
+def test_settings_are_scored_together_as_one_by_one(spark):
+    rng = random.Random(3)
+    words = ["pump", "leak", "seal", "radio", "static", "tyre", "worn", "wing", "crack"]
+    rows = [(rng.choice(["11AAA", "11AAB", "12CCC", "22DDD"]), i) for i in range(160)]
+    rows = [(c, " ".join(rng.choice(words[hash_of(c):hash_of(c) + 5]) for _ in range(rng.randint(0, 5)))) for c, i in rows] + [(None, "pump"), ("11AAA", None), ("11AAA", "unheard")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "label string, text string, id long")
+    train, val = df.where("id % 3 <> 0"), df.where("id % 3 = 0 OR text IS NULL")
+    settings = [{"smoothing": 0.1}, {"smoothing": 2.0, "weighted": False}, {"level": "system"}, {"smoothing": 1.0}, {"level": "system", "smoothing": 0.3, "weighted": False}]
+    together = classify.setting_predictions(train, val, "label", settings).collect()
+    for i, setting in enumerate(settings):
+        model = classify.train_classifier(train, "label", **setting)
+        truth = classify.LEVELS[setting.get("level", "code")]("label")
+        alone = classify.predict_topk(model, val, 1).select(truth.alias("truth"), F.get("preds", F.lit(0))["code"].alias("pred_1"))
+        assert sorted(map(str, ((r.truth, r.pred_1) for r in together if r.setting == i))) == sorted(map(str, ((r.truth, r.pred_1) for r in alone.collect())))
+        settings[i] = (setting, evaluate.macro_f1(alone).first().macro_f1)
+    model, tried = classify.best_by_macro_f1(train, val, "label", [s for s, _ in settings])
+    assert [t[0] for t in tried] == [s for s, _ in settings] and [t[1] for t in tried] == [pytest.approx(f) for _, f in settings]
+    assert model.labels.count() in (4, 3)
+
+
+def hash_of(code):
+    return ["11AAA", "11AAB", "12CCC", "22DDD"].index(code)
+
+
 def test_continued_training_equals_training_on_all(spark):
     a = spark.createDataFrame([("x", "one two"), ("y", "two three")], "label string, text string")
     b = spark.createDataFrame([("x", "three three"), ("z", "four")], "label string, text string")
