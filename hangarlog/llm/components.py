@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds: each node's neighbours are linked to the
     smallest node it knows, never to each other, so the number of edges does
-    not grow. A hub's edges are spread over tasks by the join.
+    not grow. The rows of a component's root meet in one task of the join.
     """
     links = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None

@@ -7,9 +7,10 @@ posterior probability that its similarity reaches the threshold is below the
 tolerance. The pairs that are left are verified on their sets.
 
 Large bands are cut into blocks of classes, and a task compares two blocks
-with arrays. What leaves a task is a count of links for each class and a tree
-of the linked ones, never the pairs, so a group of n near copies costs
-n * n / BLOCK rows, not n * n. There is no cap on band sizes or partners.
+with arrays. The first job writes, for each left class, the identifiers of the
+partners that survive, so n near copies that all differ emit about n * n / 2
+identifiers in n rows; the verifying job returns a count of links for each
+class and a tree of the linked ones. There is no cap on band sizes or partners.
 """
 
 from __future__ import annotations
