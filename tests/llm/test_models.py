@@ -345,7 +345,7 @@ def test_best_rows_breaks_ties_by_identifier():
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     cursor = con.execute(contract.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]

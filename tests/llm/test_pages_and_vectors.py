@@ -6,7 +6,6 @@ import html
 import random
 import re
 
-import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -75,13 +74,6 @@ def test_intervals_hold_the_true_score_and_prune():
     assert (huge.scores(x[0] << 20, at) == (x << 20) @ (x[0] << 20)).all() and huge.exact is None
 
 
-def test_hard_negatives_query_equals_its_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{FOLDER}/embeddings.parquet'")
-    want = con.execute(queries.oracle_sql()["op11_hard_negatives"]).fetchall()
-    assert sorted(map(tuple, queries.op11_hard_negatives(spark, FOLDER).collect())) == sorted(want)
-
-
 # ---- whitening -------------------------------------------------------------
 
 @pytest.mark.parametrize("weight", ["one", "count"])
