@@ -418,7 +418,73 @@ def _(spark, d):
     return p.select("code", F.explode(F.concat(*parts)).alias("e")).select("code", "e.*").where("item IS NOT NULL")
 
 
-@query("n1_narrative")
+def _narrative_sql() -> str:
+    """The report from the long table of sections, sentence by sentence."""
+    title = lambda x: (f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), "
+                       "lambda w: concat(upper(substr(w, 1, 1)), lower(substr(w, 2)))), '')")
+    whole = lambda x: f"format('{{:,}}', cast(round_even({x}, 0) AS bigint))"
+    fixed = lambda x, k: f"format('{{:.{k}f}}', round_even({x}, {k}))"
+    share = lambda n: f"concat({fixed(f'100.0::double * {n} / total', 0)}, '%')"
+    one = lambda section, item, c="value": f"max({c}) FILTER (section = '{section}' AND item = '{item}')"
+    joined = lambda section, k, show, sep=", ": f"string_agg({show}, '{sep}' ORDER BY place) FILTER (section = '{section}' AND place <= {k})"
+    counted = "concat(item, ' (', n, ')')"
+    return sql("records dictionary base_n located tokens discovery maintenance", f"""
+        SELECT code, concat_ws(chr(10),
+          concat('**WUC ', code, ' — ', coalesce(description, 'Unknown'), '**'),
+          concat('Based on ', {whole('total')}, ' maintenance records across ', assets, ' airframes (', first_date, ' to ', last_date, ').'), '',
+          concat_ws(' ', concat('**Burden.** ', {whole('round_even(total_hours, 1)')}, ' man-hours total, averaging ', {fixed('round_even(mean_hours, 2)', 1)},
+              ' h per event against a fleet average of ', {fixed('round_even(fleet_mean, 2)', 1)}, ' h.'),
+            concat('At ', {fixed('burden', 2)}, CASE WHEN round_even(burden, 2) >= 1.25 THEN 'x the fleet rate, each occurrence is more expensive than a typical maintenance action.'
+              WHEN round_even(burden, 2) <= 0.8 THEN 'x the fleet rate, this is cheap per event — frequent rather than costly.' ELSE 'x the fleet rate, cost per event is about typical.' END)), '',
+          CASE WHEN direction IS NOT NULL THEN concat('**Direction.** ', {title('direction')}, ' — ', {whole('earlier')}, ' records in the earliest full years vs ', {whole('recent')},
+            ' in the most recent (', format('{{:+.0f}}', round_even(round_even(change, 1), 0)), '%), across ', cast(first_year AS int), '–', cast(last_year AS int), '.',
+            CASE WHEN excluded IS NULL THEN '' ELSE concat(' ', cast(excluded AS int), ' is a partial year and was excluded.') END) END,
+          CASE WHEN direction IS NOT NULL THEN '' END,
+          concat('**Why it occurs.** The most frequent discrepancy keywords are: ', nullif(keywords, ''), CASE WHEN keywords IS NULL THEN NULL ELSE '.' END),
+          CASE WHEN keywords IS NOT NULL AND phrase IS NOT NULL THEN concat('The single most common write-up is "', substr(phrase, 1, 120), '" (', phrase_n, ' occurrences, ', {share('phrase_n')}, ' of all reports).') END,
+          CASE WHEN fix_words IS NOT NULL THEN concat('Typical corrective actions involve: ', fix_words, '.') END, '',
+          CASE WHEN hot IS NOT NULL THEN concat('**Where.** Genuinely concentrated at: ', hot, '. These exceed what their overall maintenance volume predicts.')
+               WHEN busy IS NOT NULL THEN concat('**Where.** No base stands out — this is fleet-wide. Highest raw counts are ', busy, ', but each is close to what its overall maintenance volume predicts.') END,
+          CASE WHEN busy IS NOT NULL THEN '' END,
+          concat('**When (seasonality).** Peak months: ', peaks, '.'), concat('Year-over-year: ', lately, '.'), '',
+          concat('**Airframe lifecycle.** Occurrences are ', CASE WHEN band_share < 32 THEN 'spread evenly across airframe age — no lifecycle signal'
+              WHEN band LIKE '%High' THEN concat('skewed toward high-time airframes (', {fixed('band_share', 0)}, '% vs 25% expected) — consistent with wear-out')
+              ELSE concat('skewed toward low-time airframes (', {fixed('band_share', 0)}, '% vs 25% expected) — not wear-out; look at install quality or inspection scheduling') END,
+            '. Largest band: ', band_label, ' (', band_n, ').'),
+          concat('**Discovery phase.** ', found, '.'), concat('Maintenance type: ', kinds, '.'), '',
+          CASE WHEN others IS NOT NULL THEN concat('**Often opened alongside.** Other WUCs frequently worked on the same job control number: ', others, '.') END) AS narrative
+        FROM told LEFT JOIN hotspots USING (code) LEFT JOIN peaked USING (code) LEFT JOIN recently USING (code) LEFT JOIN aged USING (code) LEFT JOIN dictionary USING (code)""",
+        labor=LABOR_SQL, jc="SELECT job_id, code, count(*) AS n FROM records GROUP BY 1, 2", fix_tokens=VIEWS["tokens"][0].replace("discrepancy", "corrective_action"),
+        edges="""SELECT quantile_cont(flight_hours, 0.25) AS q0, quantile_cont(flight_hours, 0.5) AS q1,
+                        quantile_cont(flight_hours, 0.75) AS q2 FROM records""",
+        banded="""SELECT code, CASE WHEN flight_hours <= -1 THEN NULL WHEN flight_hours <= q0 THEN 0
+                         WHEN flight_hours <= q1 THEN 1 WHEN flight_hours <= q2 THEN 2 ELSE 3 END AS band_no
+                  FROM records, edges""", **YEARS, **BY_BASE, sections=section_sql(),
+        sized="""SELECT code, count(*) AS total, count(DISTINCT asset_id) AS assets, min(start_date) AS first_date, max(start_date) AS last_date FROM records GROUP BY 1""",
+        told=f"""SELECT code, any_value(total) AS total, any_value(assets) AS assets, any_value(first_date) AS first_date, any_value(last_date) AS last_date,
+            {one('labor', 'total_hours')} AS total_hours, {one('labor', 'mean_hours')} AS mean_hours, {one('labor', 'fleet_mean_hours')} AS fleet_mean, {one('labor', 'burden_index')} AS burden,
+            max(item) FILTER (section = 'trend_direction') AS direction, {one('trend', 'earlier_records')} AS earlier, {one('trend', 'recent_records')} AS recent,
+            {one('trend', 'change_pct')} AS change, {one('trend', 'first_full_year')} AS first_year, {one('trend', 'last_full_year')} AS last_year, {one('trend', 'excluded_year')} AS excluded,
+            {joined('top_keyword', 6, 'item')} AS keywords, {joined('top_fix_keyword', 5, 'item')} AS fix_words, max(item) FILTER (section = 'top_phrase' AND place = 1) AS phrase,
+            max(n) FILTER (section = 'top_phrase' AND place = 1) AS phrase_n, {joined('cooccurring', 5, counted)} AS others, {joined('maint_type', 2, counted, '; ')} AS kinds,
+            {joined('discovered', 2, f"concat(item, ' (', n, ', ', {share('n')}, ')')", '; ')} AS found FROM sections JOIN sized USING (code) GROUP BY code""",
+        dense=f"""SELECT c.code, c.place, c.n, {title('c.item')} AS base, round_even(c.value, 2) AS ratio, round_even(e.value, 1) AS wanted
+            FROM sections c JOIN sections e ON c.code = e.code AND c.place = e.place AND c.section = 'concentration' AND e.section = 'expected'""",
+        ordered="SELECT *, row_number() OVER (PARTITION BY code ORDER BY (ratio >= 1.5 AND n >= 3) DESC, -ratio, n, base) AS turn, ratio >= 1.5 AND n >= 3 AS is_hot FROM dense",
+        hotspots=f"""SELECT code, string_agg(concat(base, ' (', n, ' vs ', {fixed('wanted', 0)}, ' expected, ', {fixed('ratio', 1)}, 'x)'), '; ' ORDER BY turn) FILTER (is_hot AND turn <= 3) AS hot,
+            string_agg(concat(base, ' (', n, ', ', {fixed('ratio', 1)}, 'x expected)'), '; ' ORDER BY place) FILTER (place <= 3) AS busy FROM ordered GROUP BY code""",
+        peaked=f"""SELECT code, string_agg({counted}, ', ' ORDER BY n DESC, place) AS peaks FROM (
+            SELECT * FROM sections WHERE section = 'months' QUALIFY row_number() OVER (PARTITION BY code ORDER BY n DESC, place) <= 3) m GROUP BY code""",
+        recently="""SELECT code, string_agg(concat(item, ': ', n), ' -> ' ORDER BY place) AS lately FROM (
+            SELECT * FROM sections WHERE section = 'years' QUALIFY row_number() OVER (PARTITION BY code ORDER BY place DESC) <= 5) y GROUP BY code""",
+        aged=f"""SELECT code, item AS band, n AS band_n, 100.0::double * n / greatest(all_n, 1) AS band_share, CASE place
+              WHEN 1 THEN concat('Low (<', {fixed('q0', 0)}, ' hrs)') WHEN 2 THEN concat('Mid-Low (', {fixed('q0', 0)}, '-', {fixed('q1', 0)}, ')')
+              WHEN 3 THEN concat('Mid-High (', {fixed('q1', 0)}, '-', {fixed('q2', 0)}, ')') ELSE concat('High (>', {fixed('q2', 0)}, ' hrs)') END AS band_label
+            FROM (SELECT *, sum(n) OVER (PARTITION BY code) AS all_n FROM sections WHERE section = 'hour_bands'
+                  QUALIFY row_number() OVER (PARTITION BY code ORDER BY n DESC, place) = 1) b, edges""")
+
+
+@query("n1_narrative", _narrative_sql())
 def _(spark, d):
     return narrative.narrative(_profile(spark, d)).select("code", "narrative")
 
