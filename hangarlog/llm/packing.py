@@ -3,9 +3,11 @@
 A document's full windows are cut off first; its rest is placed online. An
 array holds how many windows are open at each fill level. The rest goes to the
 level that makes the sum of the squared counts of partially filled windows
-least, which is a lookup over the levels. When a task ends, or too many
-windows are open, the open windows are laid end to end and cut into full ones,
-so that a task leaves one window with padding.
+least, which is a lookup over the levels. A task holds a bounded number of
+open windows. At the bound no window is opened, and a rest that fits in none
+is cut at the end of the one at the most frequent level. When a task ends, the
+pieces of its emptiest windows are placed in its others by the same rule, so
+that it leaves one window with padding.
 
 Each task packs the rows of its own partition as a stream; nothing is
 shuffled, and a repeated task makes the same sequences.
@@ -28,6 +30,7 @@ from hangarlog.llm.frames import record
 from hangarlog.llm.textbytes import WHITE, buffer_of, slices, span_hashes
 
 END = 1
+#: Windows open at a time in a task: 4 bytes an id, so 16 MB at the most.
 MOST_OPEN = 2048
 #: Pieces of text remembered by a task with their ids, and the bytes of the longest one.
 CACHE_PIECES, CACHE_BYTES = 1 << 21, 48
@@ -124,66 +127,61 @@ class Packer:
         self.opened = 0
 
     def best_level(self, size: int) -> int:
-        """The level (0: a new window) whose use makes the sum of squared counts least; ties to the fullest."""
+        """The level (0: a new window) whose use makes the sum of squared counts least; ties to the fullest.
+
+        While windows may be opened, a piece goes only where it fits. Else it
+        goes to an open window, and is cut at its end if it fits in none.
+        """
+        may_open = self.opened < self.most_open or not self.opened
         to = self.counts[size:self.window + 1]
+        usable = self.counts[:len(to)] > 0
+        usable[0] = may_open
+        if not usable.any():
+            return int(self.window - 1 - np.argmax(self.counts[self.window - 1::-1]))  # filled: the most frequent level
         cost = 2 * to - 2 * self.counts[:len(to)] + 2
         cost[0] = 2 * self.counts[size] + 1 if size < self.window else 0
         if len(to) > 1:
             cost[-1] = 1 - 2 * self.counts[self.window - size]  # a filled window counts no more
-        usable = self.counts[:len(to)] > 0
-        usable[0] = True
         cost = np.where(usable, cost, np.iinfo(np.int64).max)
         return int(len(cost) - 1 - np.argmin(cost[::-1]))
 
+    def place(self, piece: tuple) -> Iterator[list[tuple]]:
+        """Put a piece by the rule; yields the windows that it fills."""
+        doc_id, start, ids, total = piece
+        while len(ids):
+            level = self.best_level(len(ids))
+            pieces = self._take(level) if level else []
+            part, ids = ids[:self.window - level], ids[self.window - level:]
+            pieces.append((doc_id, start, part, total))
+            start += len(part)
+            if level + len(part) == self.window:
+                yield pieces
+            else:
+                self.open[level + len(part)].append(pieces)
+                self.counts[level + len(part)] += 1
+                self.opened += 1
+
+    def _take(self, level: int) -> list[tuple]:
+        self.counts[level] -= 1
+        self.opened -= 1
+        return self.open[level].pop()
+
     def add(self, doc_id, ids: np.ndarray) -> Iterator[list[tuple]]:
         """Place a document; yields the windows that are full."""
         total, start = len(ids), 0
         while total - start >= self.window:
             yield [(doc_id, start, ids[start:start + self.window], total)]
             start += self.window
-        size = total - start
-        if not size:
-            return
-        piece = (doc_id, start, ids[start:].copy(), total)  # a view would hold the whole document
-        level = self.best_level(size)
-        if level:
-            pieces = self.open[level].pop()
-            self.counts[level] -= 1
-            self.opened -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if level + size == self.window:
-            yield pieces
-            return
-        self.open[level + size].append(pieces)
-        self.counts[level + size] += 1
-        self.opened += 1
-        if self.opened > self.most_open:
-            yield from self.flush(False)
-
-    def flush(self, last: bool) -> Iterator[list[tuple]]:
-        """Lay the open windows end to end and cut full ones; the rest stays open, or is the last window."""
-        rest: list[tuple] = []
-        filled = 0
-        for level in range(self.window - 1, 0, -1):
-            for pieces in self.open[level]:
-                for doc_id, start, ids, total in pieces:
-                    while filled + len(ids) >= self.window:
-                        room = self.window - filled
-                        yield [*rest, (doc_id, start, ids[:room], total)]
-                        rest, filled, start, ids = [], 0, start + room, ids[room:]
-                    if len(ids):
-                        rest.append((doc_id, start, ids, total))
-                        filled += len(ids)
-            self.open[level] = []
-        self.counts[:] = 0
-        self.opened = 0
-        if rest and last:
-            yield rest
-        elif rest:
-            self.open[filled].append(rest)
-            self.counts[filled], self.opened = 1, 1
+        yield from self.place((doc_id, start, ids[start:].copy(), total))  # a view would hold the whole document
+
+    def close(self) -> Iterator[list[tuple]]:
+        """Open no more: the emptiest windows' pieces are placed in the others until one is left, which is padded."""
+        self.most_open = 0
+        for level in range(1, self.window):
+            while self.counts[level] and self.opened > 1:
+                for piece in self._take(level):
+                    yield from self.place(piece)
+        yield from (pieces for level in self.open for pieces in level)
 
 
 def _pack(path: str, window: int, with_ids: bool):
@@ -211,7 +209,7 @@ def _pack(path: str, window: int, with_ids: bool):
                 if len(out) > 4000:
                     yield record(schema, list(zip(*out)))
                     out.clear()
-        emit(packer.flush(True))
+        emit(packer.close())
         if out:
             yield record(schema, list(zip(*out)))
     return run
@@ -224,7 +222,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, text: st
     A document's ids are the tokenizer's, then END. Every id is in exactly one
     piece. Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset and, if wanted, ids. A null text counts as an empty one (END only);
-    repeated rows are packed each by itself; an empty table gives no rows.
+    repeated rows are packed each by itself; texts of any length are packed
+    whole; an empty table gives no rows. Further columns are not read, so their
+    names cannot clash.
     `tokenizer` is a file that every executor has.
     """
     fields = ("doc_id start length ids_crc32 doc_tokens sequence_id offset").split()

@@ -314,12 +314,57 @@ def test_level_choice_minimises_the_sum_of_squares():
     assert out > 0
 
 
+def _squares(counts, window):
+    return int((counts[1:window] ** 2).sum())
+
+
 def test_open_windows_stay_bounded():
+    """At the bound nothing is opened: a piece that fits in no window fills the most frequent level."""
     packer = packing.Packer(100, most_open=20)
     windows = []
     for i in range(300):
-        windows += list(packer.add(i, np.full(60, i, dtype=np.uint32)))
-        assert packer.opened <= 21
-    windows += list(packer.flush(True))
-    assert sum(len(p[2]) for w in windows for p in w) == 300 * 60
+        before = packer.counts.copy()
+        full = packer.opened == 20 and not before[1:41 - i % 2].any()
+        made = list(packer.add(i, np.full(60 + i % 2, i, dtype=np.uint32)))
+        if full:
+            assert len(made[0][-1][2]) == 100 - int(np.flatnonzero(before == before.max())[-1])
+        windows += made
+        assert packer.opened <= 20
+    windows += list(packer.close())
+    assert sum(len(p[2]) for w in windows for p in w) == 150 * (60 + 61)
+    assert sum(sum(len(p[2]) for p in w) < 100 for w in windows) <= 1
+
+
+@pytest.mark.parametrize("sizes", [(1,), (60,), (99, 100, 101), tuple(range(1, 140)), (3, 97, 250)])
+def test_closing_places_by_the_rule_and_keeps_every_id(sizes):
+    packer = packing.Packer(100)
+    rng = random.Random(str(sizes))
+    docs = [np.arange(rng.choice(sizes), dtype=np.uint32) for _ in range(150)]
+    windows = [w for i, ids in enumerate(docs) for w in packer.add(i, ids)]
+    assert all(len(p[2]) == min(100, len(docs[p[0]]) - p[1]) for w in windows for p in w)  # nothing is cut before the end
+    place = packer.place
+
+    def watched(piece):
+        before, opened = packer.counts.copy(), packer.opened
+        level = packer.best_level(len(piece[2]))
+        fitting = [h for h in range(1, 101 - len(piece[2])) if before[h]]
+        if fitting:
+            def after(h):
+                counts = before.copy()
+                counts[h] -= 1
+                counts[h + len(piece[2])] += 1
+                return _squares(counts, 100)
+            assert after(level) == min(map(after, fitting))
+        assert level or not opened
+        return place(piece)
+
+    packer.place = watched
+    windows += list(packer.close())
+    got = defaultdict(list)
+    for w in windows:
+        for doc_id, start, ids, total in w:
+            assert total == len(docs[doc_id])
+            got[doc_id].append((start, ids))
+    for i, ids in enumerate(docs):
+        assert np.concatenate([x for _, x in sorted(got[i], key=lambda p: p[0])]).tolist() == ids.tolist()
     assert sum(sum(len(p[2]) for p in w) < 100 for w in windows) <= 1
