@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from catalog.base import AS_OF, PHRASE, query, sql
 from hangarlog.functions import arrays, dates, labels, text
-from hangarlog.operators import classify, count_store, counts, evaluate, narrative, questions, sections, split
+from hangarlog.operators import classify, count_store, counts, evaluate, joint, narrative, questions, sections, split
 from hangarlog.plans import scoring
+from hangarlog.plans.sizing import keep
 from hangarlog.reference_data import CONFIDENCE_BANDS, CONFIDENCE_EDGES, TEXT_SEPARATOR
 from hangarlog.session import ensure_checkpoint_dir
 from hangarlog.sources import star
@@ -459,6 +460,31 @@ def _(spark, d):
     return out
 
 
+# Learned by steps, so SQL has no say; tests check slopes by differences and held-out rows against naive Bayes.
+@query("m2_joint_levels")
+def _(spark, d):
+    recs = split.split(star.records(spark, d).select("record_id", "code", F.col("discrepancy").alias("text")), "code", "record_id")
+    model = joint.fit_joint(recs.where("split = 'train'"), "code", "record_id")
+    scored = keep(joint.predict_joint(model, recs.where("split = 'test'"), 1))
+    out = None
+    for level, pred in (("system", F.col("pred_system")), ("subsystem", F.col("pred_subsystem")), ("code", arrays.entry("preds", 0, "code"))):
+        rows = scored.select(classify.LEVELS[level]("code").alias("truth"), pred.alias("pred_1"))
+        part = evaluate.macro_f1(rows).select(F.lit(level).alias("level"), "n", "labels", "accuracy", "macro_f1")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# A model of the earlier records goes on with the later ones; new codes join its labels.
+@query("m5_continued_joint")
+def _(spark, d):
+    recs = split.split(star.records(spark, d).select("record_id", "code", "start_date", F.col("discrepancy").alias("text")), "code", "record_id")
+    train = recs.where("split = 'train'")
+    earlier = joint.fit_joint(train.where("start_date < date '1996-01-01'"), "code", "record_id", rounds=4)
+    later = joint.fit_joint(train.where("start_date >= date '1996-01-01'"), "code", "record_id", rounds=4, start=earlier)
+    scored = joint.predict_joint(later, recs.where("split = 'test'"))
+    return evaluate.wide_predictions(scored, 3).select("record_id", F.col("code").alias("truth"), "pred_system", "pred_subsystem", "pred_1", "pred_2", "pred_3", "confidence_1")
+
+
 @query("m3_predict_topk", sql("", """
     SELECT doc_id, a.label AS truth, max(p.label) FILTER (rank = 1) AS pred_1, max(p.label) FILTER (rank = 2) AS pred_2,
            max(p.label) FILTER (rank = 3) AS pred_3, round_even(max(confidence) FILTER (rank = 1), 2) AS confidence_1,
