@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalog.base import PHRASE, VIEWS, query, sql
 from hangarlog.functions import arrays
-from hangarlog.operators import geo, narrative, related, sections
+from hangarlog.functions.text import system_of
+from hangarlog.operators import geo, narrative, related, sections, sketches
 from hangarlog.plans.profile import profile
+from hangarlog.plans.sizing import keep
 from hangarlog.reference_data import discovery_phases, maintenance_phases
 from hangarlog.sources import star
 
@@ -66,6 +68,23 @@ def _(spark, d):
     return exact_quantiles(star.records(spark, d), "labor_hours", sections.QUARTILES, ["code"])
 
 
+# Sketch answers vary within their bounds, so what is compared is the exact side and that the bounds hold.
+@query("a12_sketched_edges", sql("records", """
+    SELECT substr(code, 1, 2) AS system, count(*) AS n, count(flight_hours) AS with_hours, count(DISTINCT asset_id) AS assets,
+           true AS assets_within, true AS edges_within FROM records GROUP BY 1"""))
+def _(spark, d):
+    recs = star.records(spark, d)
+    cells = sketches.sketch_cells(recs, {"code": F.col("code"), "month": F.date_trunc("month", "start_date")}, {"assets": F.col("asset_id")}, {"hours": F.col("flight_hours")})
+    system = recs.withColumn("system", system_of("code"))
+    found = keep(sketches.read_off(sketches.merge_cells(cells, {"system": system_of("code")}), sections.QUARTILES))
+    errors = sketches.rank_errors(system, F.col("flight_hours"), found, ["system"], sections.QUARTILES, "hours_q")
+    exact = system.groupBy("system").agg(F.count_distinct("asset_id").alias("assets"))
+    close = F.abs(F.col("assets_distinct") - F.col("assets")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("assets"))
+    return found.join(exact, "system").join(errors, "system", "left").select(
+        "system", F.col("rows").alias("n"), F.col("hours_n").alias("with_hours"), "assets", close.alias("assets_within"),
+        (F.coalesce("rank_error", F.lit(0.0)) <= 2 * sketches.RANK_ERROR).alias("edges_within"))
+
+
 BANDS = """
     SELECT c.code, b.band_no, b.band, count(r.code) AS n
     FROM (SELECT DISTINCT code FROM banded) c
