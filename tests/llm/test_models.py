@@ -193,12 +193,17 @@ def test_quality_of_odd_rows_and_gradients(spark, docs, odd_rows):
     out = quality.score_quality(docs(odd_rows), model).collect()
     assert len(out) == len(odd_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
     assert quality.score_quality(docs([]), quality.train_quality(docs([]), labels)).collect() == []
-    x, begins = quality.passages(pa.array([prose(random.Random(1), 150), "", None, "!!! ??"]))
-    assert np.diff(begins).tolist() == [3, 1, 1, 1] and not x[3].any() and np.isfinite(x).all()
+    bag = quality.passages(pa.array([prose(random.Random(1), 150), "", None, "!!! ??"]))
+    assert np.diff(bag.begins).tolist() == [3, 1, 1, 1] and not bag.x[3].any() and np.isfinite(bag.x).all()
+    assert bag.sizes.tolist() == [64, 64, 22, 0, 0, 2] and len(bag.buckets) == 152
+    vectors = np.random.default_rng(2).normal(size=(quality.BUCKETS, 3))
+    ends = np.cumsum(bag.sizes)
+    for got, n, end in zip(quality.word_means(vectors, bag.buckets, bag.sizes, 2), bag.sizes, ends):
+        assert got == pytest.approx(vectors[bag.buckets[end - n:end]].mean(axis=0) if n else np.zeros(3))
     label, small = np.array([1.0, 0.0, 1.0, 0.0]), 1e-6
     m = quality.AttentionModel(4, 3)
-    loss = lambda: -np.mean([np.log(p if t else 1 - p) for p, t in zip(m._forward(x, begins)["y"], label)])
-    made = m._gradients(x, begins, label, 0.0)
+    loss = lambda: -np.mean([np.log(p if t else 1 - p) for p, t in zip(m._forward(bag)["y"], label)])
+    made = m._gradients(bag, label, 0.0)
     for name, g in made.items():
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
         m.p[name][at] += small
@@ -209,6 +214,21 @@ def test_quality_of_odd_rows_and_gradients(spark, docs, odd_rows):
         assert g[at] == pytest.approx((up - down) / (2 * small), rel=1e-3), name
 
 
+def test_quality_told_by_words_alone(spark, docs):
+    """Both kinds of text have the same letters, lengths and marks; only the words differ."""
+    rng = random.Random(8)
+    words = ["stone", "river", "table", "light", "cloud", "paper"]
+    rows, truth = [], {}
+    for i in range(900):
+        truth[i] = rng.randint(0, 1)
+        rows.append(doc(i, " ".join(w if truth[i] else w[::-1] for w in (rng.choice(words) for _ in range(rng.randint(5, 200))))))
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")
+    out = [r for r in quality.score_quality(docs(rows), quality.train_quality(docs(rows), labels)).collect() if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in out) > 0.9 * len(out)
+    few = quality.train_quality(docs(rows), labels, most_bytes=0)
+    assert not few.p["E"].any()  # no document within the bound: untrained
+
+
 # ---- licenses --------------------------------------------------------------
 
 def test_licenses_against_brute_force(docs, odd_rows):
