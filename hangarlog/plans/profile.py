@@ -14,6 +14,7 @@ from hangarlog.operators.related import cooccurring
 from hangarlog.operators.sections import (
     affected_assets, data_end, facet_counts, hour_bands, labor_burden, trend_of, with_phase,
 )
+from hangarlog.plans.sizing import stored
 from hangarlog.reference_data import UNKNOWN_DESCRIPTION, discovery_phases, gazetteer as known_sites, maintenance_phases
 from hangarlog.session import ensure_checkpoint_dir
 
@@ -40,7 +41,7 @@ def profile(records: DataFrame, dictionary: DataFrame | None = None, gazetteer:
 
     The count-based sections come from one table of counts per code, facet
     and item, which is checkpointed, so a lost executor does not bring the
-    scan behind it back. The sections meet in one grouping by code instead of
+    scan behind it back; the others read a few columns that are stored once. The sections meet in one grouping by code instead of
     a join each. ``codes`` restricts the scans of all sections to these codes'
     records and jobs; only fleet totals, which are a few sums, then cover all
     records. A code without records has a row with total 0.
@@ -54,6 +55,9 @@ def profile(records: DataFrame, dictionary: DataFrame | None = None, gazetteer:
     wanted = None if codes is None else [c.strip().upper() for c in codes]
     mine = records if wanted is None else records.where(F.col("code").isin(*wanted))
     facets = facet_counts(mine, FACETS).checkpoint()
+    if wanted is None:
+        # What the other sections read, a dozen times in all; the texts behind it are read once, above.
+        mine = records = stored(records.select("code", "asset_id", "start_date", "labor_hours", "flight_hours", "job_id"))
     of = lambda name: facets.where(F.col("facet") == name).select("code", "item", "n")
     item, n, rank = F.col("item"), F.col("n"), F.col("rank")
 

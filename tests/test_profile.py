@@ -113,6 +113,22 @@ def test_related_codes_for_any_job_width(frame):
         assert table(related.cooccurring(df, spread=width), "code", "other", "n", "rank") == want, width
 
 
+def test_pairs_of_many_jobs_are_dealt_to_tasks(frame, monkeypatch):
+    monkeypatch.setattr(related, "TASK_PAIRS", 20, raising=False)
+    rng = random.Random(6)
+    pairs = [(f"j{rng.randint(0, 60)}", f"c{rng.randint(0, 15):02d}") for _ in range(400)]
+    found = related.cooccurring(frame([row(i, code=c, job=j) for i, (j, c) in enumerate(pairs)]))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert table(found, "code", "other", "n", "rank") == _brute_related(pairs, 5)
+
+
+def test_profile_reads_the_records_behind_it_once(spark, frame, tmp_path):
+    frame([row(i, day=f"{2019 + i % 5}-0{1 + i % 9}-10", hours=float(i), job=f"j{i // 2}", code=("11AAA", "12BBB")[i % 2]) for i in range(20)]).write.parquet(str(tmp_path / "r"))
+    found = profile(spark.read.parquet(str(tmp_path / "r")))
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert sorted((r.code, r.total_records) for r in found.collect()) == [("11AAA", 10), ("12BBB", 10)]
+
+
 def test_profile_and_its_text(spark, frame):
     rows = [row(i, day=f"{2019 + i % 5}-0{1 + i % 9}-10", base=("SCOTT", "ALTUS")[i % 4 == 0], hours=float(i), labor=2.0,
                 job=f"j{i // 2}", code=("11AAA", "12BBB")[i % 2], text="PUMP LEAKING.") for i in range(40)]
