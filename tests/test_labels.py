@@ -217,3 +217,10 @@ def test_token_counts_add_up(frame):
     a, b = df.where("record_id < 'r15'"), df.where("record_id >= 'r15'")
     parts = classify.add_counts(*[classify.token_counts(x, "code", "discrepancy") for x in (a, b)], "code")
     assert table(parts) == whole
+
+
+def test_split_reads_what_is_behind_it_once(spark, tmp_path):
+    spark.createDataFrame([(i, f"c{i % 3}") for i in range(60)], "id long, label string").write.parquet(str(tmp_path / "r"))
+    found = split.split(spark.read.parquet(str(tmp_path / "r")), "label", "id")
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert {r.split: r["count"] for r in found.groupBy("split").count().collect()} == {"train": 48, "val": 6, "test": 6}
