@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hangarlog.functions.text import subsystem_of, system_of
 from hangarlog.operators.classify import text_tokens
+from hangarlog.operators.retrieval import SharedLists
+from hangarlog.plans.sizing import fits_broadcast, stored
 
 #: Shares of one row in a resample: how often a row is drawn is Poisson distributed with mean one.
 _CUMULATED = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
@@ -15,7 +17,11 @@ MEANS = ("code_agreement", "subsystem_agreement", "system_agreement", "code_foun
          "labor_error", "plain_labor_error")
 
 
-def judge_lists(lists: DataFrame, records: DataFrame, key: str = "record_id", label: str = "code", fix: str = "corrective_action",
+def _fix_words(fix: str) -> Column:
+    return F.array_distinct(F.coalesce(text_tokens(fix), F.array().cast("array<string>")))
+
+
+def judge_lists(lists: DataFrame | SharedLists, records: DataFrame, key: str = "record_id", label: str = "code", fix: str = "corrective_action",
                 labor: str = "labor_hours") -> DataFrame:
     """One row for each query of lists (key, rank, similar_id, score), with how its list compares with the query's own record.
 
@@ -26,9 +32,12 @@ def judge_lists(lists: DataFrame, records: DataFrame, key: str = "record_id", la
     without a word overlap by 0. labor_guess is the mean labour over the list.
     Nulls agree with nothing; a list without labour has no guess. Lists of
     keys without a record are left out, as are similar records without one.
-    Keys of records are unique.
+    Keys of records are unique. Shared lists meet the records once a list, not
+    once an entry of each query.
     """
-    words = F.array_distinct(F.coalesce(text_tokens(fix), F.array().cast("array<string>")))
+    if isinstance(lists, SharedLists):
+        return _judge_shared(lists, records, key, label, fix, labor)
+    words = _fix_words(fix)
     facts = records.select(F.col(key).alias("_key"), F.col(label).alias("_code"), words.alias("_fix"), F.col(labor).cast("double").alias("_labor"))
     own = facts.select(F.col("_key").alias(key), F.col("_code").alias("code"), F.col("_fix").alias("fix"), F.col("_labor").alias("labor"))
     both = lists.join(facts, lists["similar_id"] == F.col("_key")).drop("_key").join(own, key)
@@ -42,6 +51,53 @@ def judge_lists(lists: DataFrame, records: DataFrame, key: str = "record_id", la
         F.avg(overlap).alias("fix_overlap"), F.max(overlap).alias("best_fix_overlap"), F.avg("_labor").alias("labor_guess"), F.first("labor").alias("labor"))
 
 
+def _summed(entries: Column) -> Column:
+    """Sums and maxima over compared entries."""
+    first = F.struct(*[F.lit(0).cast(t).alias(n) for n, t in (("n", "long"), ("code", "double"), ("subsystem", "double"), ("system", "double"), ("reciprocal", "double"),
+                                                              ("overlap", "double"), ("most", "double"), ("labor", "double"), ("labors", "long"))])
+    return F.aggregate(entries, first, lambda t, e: F.struct(
+        (t["n"] + 1).alias("n"), *[(t[c] + e[c]).alias(c) for c in ("code", "subsystem", "system")],
+        F.greatest(t["reciprocal"], e["code"] / e["rank"]).alias("reciprocal"), (t["overlap"] + e["overlap"]).alias("overlap"), F.greatest(t["most"], e["overlap"]).alias("most"),
+        (t["labor"] + F.coalesce(e["labor"], F.lit(0.0))).alias("labor"), (t["labors"] + e["labor"].isNotNull().cast("long")).alias("labors")))
+
+
+def _judge_shared(lists: SharedLists, records: DataFrame, key: str, label: str, fix: str, labor: str) -> DataFrame:
+    """Queries of one list, code and fix compare alike with its entries: they are compared once, then each key leaves itself out."""
+    facts = records.select(F.col(key).alias("similar_id"), F.col(label).alias("_code"), _fix_words(fix).alias("_fix"), F.col(labor).cast("double").alias("_labor"))
+    own = records.select(key, F.col(label).alias("code"), F.col(fix).alias("fix"), F.col(labor).cast("double").alias("own_labor"))
+    asked, shared = lists.asked_with(own, key), lists.lists_with(facts)
+    same = lambda a, b: F.coalesce((a == b).cast("double"), F.lit(0.0))
+
+    def compared(df: DataFrame) -> DataFrame:
+        def entry(e: Column) -> Column:
+            shared_words = F.size(F.array_intersect("words", e["_fix"]))
+            union = F.size("words") + F.size(e["_fix"]) - shared_words
+            return F.struct(e["place"].alias("place"), e["similar_id"].alias("similar_id"), same(F.col("code"), e["_code"]).alias("code"),
+                            same(subsystem_of("code"), subsystem_of(e["_code"])).alias("subsystem"), same(system_of("code"), system_of(e["_code"])).alias("system"),
+                            F.when(union > 0, shared_words / union).otherwise(0.0).alias("overlap"), e["_labor"].alias("labor"))
+        met = df.withColumn("words", _fix_words("fix")).join(shared, "q")
+        return met.withColumn("entries", F.transform("entries", entry)).drop("words").withColumn("plain", _summed(lists.first()))
+
+    cases = stored(compared(asked.select("q", "code", "fix").distinct()))
+    if fits_broadcast(cases.select("q", "code", "fix")):
+        c = F.broadcast(cases.withColumnsRenamed({"q": "_q", "code": "_code", "fix": "_fix"}))
+        met = asked.join(c, (F.col("q") == F.col("_q")) & F.col("code").eqNullSafe(F.col("_code")) & F.col("fix").eqNullSafe(F.col("_fix")))
+    else:
+        met = compared(asked)
+    sums = F.when(F.array_contains("ids", F.col(key)), _summed(lists.of(key))).otherwise(F.col("plain"))
+    rows = met.select(key, "alone", "own_labor", sums.alias("s")).where("s.n > 0").select(key, "alone", "own_labor", "s.*")
+    added = rows.where("NOT alone").groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in ("n", "code", "subsystem", "system", "overlap", "labor", "labors")], F.max("reciprocal").alias("reciprocal"), F.max("most").alias("most"),
+        F.first("own_labor").alias("own_labor"))
+    every = rows.where("alone").drop("alone").unionByName(added)
+    n = F.col("n")
+    return every.select(
+        key, n.alias("listed"), (F.col("code") / n).alias("code_agreement"), (F.col("subsystem") / n).alias("subsystem_agreement"),
+        (F.col("system") / n).alias("system_agreement"), (F.col("code") > 0).cast("double").alias("code_found"), F.col("reciprocal").alias("reciprocal_rank"),
+        (F.col("overlap") / n).alias("fix_overlap"), F.col("most").alias("best_fix_overlap"),
+        F.when(F.col("labors") > 0, F.col("labor") / F.col("labors")).alias("labor_guess"), F.col("own_labor").alias("labor"))
+
+
 def _drawn(key: str, seed: int) -> Column:
     """How often a query is drawn in resample `draw`; always once in the first, which is the sample itself."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string")))
