@@ -101,11 +101,13 @@ def _judge_shared(lists: SharedLists, records: DataFrame, key: str, label: str,
 def _drawn(key: str, seed: int) -> Column:
     """How often a query is drawn in resample `draw`; always once in the first, which is the sample itself."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string")))
-    share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    times = F.lit(0)
-    for bound in _CUMULATED:
-        times = times + (share >= bound).cast("int")
-    return F.when(F.col("draw") == 0, 1).otherwise(times)
+    # A share is 13 hex digits over 2 ** 52, so it reaches a bound where its digits reach those of the bound; most are below the first.
+    share, times = F.substring(digest, 1, 13), F.when(F.col("draw") == 0, 1)
+    bounds = [math.ceil(bound * (1 << 52)) for bound in _CUMULATED]
+    within = [b for b in bounds if b < 1 << 52]
+    for n, bound in enumerate(within):
+        times = times.when(share < f"{bound:013x}", n)
+    return times.otherwise(len(within))
 
 
 def summarize(judged: DataFrame, key: str = "record_id", draws: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
@@ -126,7 +128,7 @@ def summarize(judged: DataFrame, key: str = "record_id", draws: int = 200, level
                                "plain_labor_error": F.when(known, F.abs(F.col("labor") - mean)),
                                # Sums of squares of what is centred keep their digits.
                                "x": F.when(known, F.col("labor_guess") - mean), "y": F.when(known, F.col("labor") - mean)})
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("w", _drawn(key, seed))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("w", _drawn(key, seed)).where("w > 0")
     w = F.col("w")
     sums = {f"n_{m}": F.sum(F.when(F.col(m).isNotNull(), w)) for m in MEANS} | {f"s_{m}": F.sum(w * F.col(m)) for m in MEANS}
     x, y = F.col("x"), F.col("y")

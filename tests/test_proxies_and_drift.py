@@ -134,3 +134,15 @@ def test_cusum_equals_its_recursion_and_finds_planted_changes(spark):
     assert alarms["up"].direction == "up" and dt.date(2003, 5, 1) <= alarms["up"].alarm_at <= dt.date(2003, 10, 1)
     assert alarms["down"].direction == "down" and dt.date(2002, 7, 1) <= alarms["down"].alarm_at <= dt.date(2003, 4, 1)
     assert alarms["up"].quiet_until < alarms["up"].alarm_at
+
+
+def test_draws_are_those_of_the_cumulated_shares(spark):
+    """Hex digits are compared as text; the weights are those of the numbers they stand for."""
+    import hashlib
+
+    df = spark.range(400).selectExpr("concat('r', id) AS record_id", "cast(id % 5 AS int) AS draw")
+    got = {(r.record_id, r.draw): r.w for r in df.withColumn("w", proxies._drawn("record_id", 42)).collect()}
+    for (key, draw), w in got.items():
+        share = int(hashlib.md5(f"42:{draw}:{key}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+        assert w == (1 if draw == 0 else sum(share >= bound for bound in proxies._CUMULATED))
+    assert len(set(got.values())) > 3 and "conv(" not in str(proxies._drawn("record_id", 42))
