@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
-        state = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.shiftrightunsigned(F.xxhash64("v", "u"), 16))).first()
+        # The links are distinct, and no number of them overflows an exclusive or.
+        state = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first()
         if state == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

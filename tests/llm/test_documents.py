@@ -195,6 +195,12 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_very_many_links(spark):
+    edges = spark.range(200_000).selectExpr("3 * id AS a", "3 * id + 1 + id % 2 AS b")
+    found = components.connected_components(edges).selectExpr("count(*) AS n", "count(DISTINCT node) AS nodes", "count_if(root = node - node % 3) AS right").first()
+    assert (found.n, found.nodes, found.right) == (400_000, 400_000, 400_000)
+
+
 # ---- mixing ----------------------------------------------------------------
 
 def test_targets_share_the_excess_by_weight():
