@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hangarlog.functions.text import subsystem_of, system_of
@@ -98,23 +101,55 @@ def _judge_shared(lists: SharedLists, records: DataFrame, key: str, label: str,
         F.when(F.col("labors") > 0, F.col("labor") / F.col("labors")).alias("labor_guess"), F.col("own_labor").alias("labor"))
 
 
-def _drawn(key: str, seed: int) -> Column:
+def _drawn(key: str, seed: int, draw: Column | None = None) -> Column:
     """How often a query is drawn in resample `draw`; always once in the first, which is the sample itself."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string")))
+    draw = F.col("draw") if draw is None else draw
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), F.col(key).cast("string")))
     # A share is 13 hex digits over 2 ** 52, so it reaches a bound where its digits reach those of the bound; most are below the first.
-    share, times = F.substring(digest, 1, 13), F.when(F.col("draw") == 0, 1)
     bounds = [math.ceil(bound * (1 << 52)) for bound in _CUMULATED]
     within = [b for b in bounds if b < 1 << 52]
-    for n, bound in enumerate(within):
-        times = times.when(share < f"{bound:013x}", n)
-    return times.otherwise(len(within))
+
+    def times(share: Column) -> Column:
+        out = F
+        for n, bound in enumerate(within):
+            out = out.when(share < f"{bound:013x}", n)
+        return out.otherwise(len(within))
+    once = F.transform(F.array(F.substring(digest, 1, 13)), times)  # the digest is worked out once, not for each bound
+    return F.when(draw == 0, 1).otherwise(F.get(once, F.lit(0)))
+
+
+SUMS = [f"{kind}_{m}" for m in MEANS for kind in "ns"] + ["wx", "wy", "wxy", "wxx", "wyy", "n_xy"]
+
+
+def _resampled(draws: int):
+    """A task's weighted sums, a row for each resample: sums over queries are products of matrices."""
+    schema = pa.schema([("draw", pa.int32()), *[(c, pa.float64()) for c in SUMS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((draws + 1, len(SUMS))), 0
+        for batch in batches:
+            weights, cells = batch.column("drawn").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, draws + 1), []
+            known, value = lambda c: batch.column(c).is_valid().to_numpy(zero_copy_only=False), lambda c: batch.column(c).fill_null(0.0).to_numpy(zero_copy_only=False)
+            for m in MEANS:
+                cells += [known(m), value(m)]
+            x, y = value("x"), value("y")
+            cells = np.column_stack([*cells, x, y, x * y, x * x, y * y, known("x")]).astype(np.float64).reshape(batch.num_rows, len(SUMS))
+            plain = np.isfinite(cells).all(axis=1)
+            total += weights[plain].T @ cells[plain]
+            for w, c in zip(weights[~plain], cells[~plain]):  # what is not drawn adds nothing, not 0 times infinity
+                total[w > 0] += w[w > 0, None] * c
+            rows += batch.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws + 1, dtype=np.int32)), *[pa.array(c) for c in total.T]], schema=schema)
+    return run
 
 
 def summarize(judged: DataFrame, key: str = "record_id", draws: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
     """metric, queries, value and the bounds of a Poisson bootstrap interval, one row for each metric.
 
     Every query enters each resample by a weight drawn from its key, so all
-    resamples are summed in one pass, map-side, and repeat on any partitioning.
+    resamples are summed in one pass, in each task, and repeat on any
+    partitioning; no query is a row for each resample.
     labor_error is the mean absolute error of labor_guess, plain_labor_error
     that of guessing the mean labour of all queries, labor_correlation the
     Pearson correlation of guess and labour. Queries without a value of their
@@ -128,12 +163,9 @@ def summarize(judged: DataFrame, key: str = "record_id", draws: int = 200, level
                                "plain_labor_error": F.when(known, F.abs(F.col("labor") - mean)),
                                # Sums of squares of what is centred keep their digits.
                                "x": F.when(known, F.col("labor_guess") - mean), "y": F.when(known, F.col("labor") - mean)})
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("w", _drawn(key, seed)).where("w > 0")
-    w = F.col("w")
-    sums = {f"n_{m}": F.sum(F.when(F.col(m).isNotNull(), w)) for m in MEANS} | {f"s_{m}": F.sum(w * F.col(m)) for m in MEANS}
-    x, y = F.col("x"), F.col("y")
-    sums |= {"wx": F.sum(w * x), "wy": F.sum(w * y), "wxy": F.sum(w * x * y), "wxx": F.sum(w * x * x), "wyy": F.sum(w * y * y), "n_xy": F.sum(F.when(x.isNotNull(), w))}
-    totals = drawn.groupBy("draw").agg(*[c.alias(name) for name, c in sums.items()])
+    asked = rows.select(F.transform(F.sequence(F.lit(0), F.lit(draws)), lambda d: _drawn(key, seed, d)).alias("drawn"), *[F.col(c).cast("double").alias(c) for c in (*MEANS, "x", "y")])
+    parts = asked.mapInArrow(_resampled(draws), ", ".join(["draw int", *[f"{c} double" for c in SUMS]]))
+    totals = parts.groupBy("draw").agg(*[F.sum(c).alias(c) for c in SUMS]).withColumn("n_xy", F.nullif("n_xy", F.lit(0.0)))
     n = F.col("n_xy")
     spread = (F.col("wxx") - F.col("wx") ** 2 / n) * (F.col("wyy") - F.col("wy") ** 2 / n)
     tied = F.when(spread > 1e-12 * F.col("wxx") * F.col("wyy"), (F.col("wxy") - F.col("wx") * F.col("wy") / n) / F.sqrt(spread))

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,27 @@ def test_draws_are_those_of_the_cumulated_shares(spark):
         share = int(hashlib.md5(f"42:{draw}:{key}".encode()).hexdigest()[:13], 16) / float(1 << 52)
         assert w == (1 if draw == 0 else sum(share >= bound for bound in proxies._CUMULATED))
     assert len(set(got.values())) > 3 and "conv(" not in str(proxies._drawn("record_id", 42))
+
+
+def test_resamples_are_sums_of_drawn_queries_and_no_rows_of_their_own(spark):
+    rng = random.Random(8)
+    nan, inf = float("nan"), float("inf")
+    rows = [(f"r{i}", *[rng.choice([None, rng.random(), rng.random()]) for _ in proxies.MEANS[:7]], rng.choice([None, 1.5, 4.0]), rng.choice([None, 2.0, 5.0 * i])) for i in range(60)]
+    rows += [("odd1", *[nan] * 7, None, None), ("odd2", *[inf] * 7, None, None)]
+    df = spark.createDataFrame(rows, "record_id string, " + ", ".join(f"{m} double" for m in proxies.MEANS[:7]) + ", labor_guess double, labor double")
+    got = {r.metric: r for r in proxies.summarize(df.repartition(3), draws=7).collect()}
+    each = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("w", proxies._drawn("record_id", 42)).where("w > 0")
+    for m in proxies.MEANS[:7]:
+        known = each.where(f"{m} IS NOT NULL").groupBy("draw").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col(m)) / F.sum("w")).alias("v")).collect()
+        first = next(r for r in known if r.draw == 0)
+        assert got[m].queries == first.n and str(got[m].value) == str(first.v)  # nan: one row of all is
+        drawn = sorted((r.v for r in known if r.draw), key=lambda v: (v != v, v))
+        finite = [v for v in drawn if abs(v) < inf]
+        if len(finite) == len(drawn):
+            assert drawn[0] - 1e-12 <= got[m].low <= got[m].high <= drawn[-1] + 1e-12
+    w, v = np.array([[1.0, 0.0], [1.0, 2.0]]), [inf, 0.25]
+    cells = {"drawn": pa.array(w.astype(np.int32).tolist(), pa.list_(pa.int32())), **{c: pa.array(v) for c in proxies.MEANS}, "x": pa.array([None, 1.0]), "y": pa.array([None, 3.0])}
+    out = next(proxies._resampled(1)(iter([pa.RecordBatch.from_pydict(cells)]))).to_pylist()
+    assert [(r["draw"], r["n_code_found"], r["s_code_found"], r["n_xy"], r["wxy"]) for r in out] == [(0, 2.0, inf, 1.0, 3.0), (1, 2.0, 0.5, 2.0, 6.0)]
+    plan = proxies.summarize(df, draws=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Generate") == 1  # metrics alone, no query for each resample
